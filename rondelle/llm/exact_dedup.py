@@ -16,6 +16,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # else each of the many small stores takes megabytes of disk in advance
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
