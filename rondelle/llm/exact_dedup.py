@@ -21,6 +21,9 @@ STATE = {
 }
 
 
+ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
+
+
 @contextmanager
 def settings(spark: SparkSession, wanted: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in wanted}
@@ -93,7 +96,7 @@ def exact_groups(docs: DataFrame, folder: str | None = None, files_per_batch: in
 
     ``docs`` is a plain read of a parquet folder with doc_id and text (other
     columns are kept); it is written to the shared folder first if it is not.
-    Adds keep_id, group_size, kept, text_sha256. Texts are equal when identical
+    Adds (or replaces) keep_id, group_size, kept, text_sha256. Texts are equal when identical
     after each run of ASCII white space has become one space; null counts as
     empty. The smallest doc_id stays; of rows repeated with that doc_id the one
     with the first content locator; null ids give way to any id. The digest
@@ -108,18 +111,19 @@ def exact_groups(docs: DataFrame, folder: str | None = None, files_per_batch: in
         docs = spark.read.schema(docs.schema).parquet(folder)
     states, _ = digests(spark, folder, docs.schema, files_per_batch)
     rows = docs.select("*", digest().alias("_digest"), rank().alias("_rank"))
-    states = states.select(F.col("digest").alias("_d"), "first", "copies")
+    states = states.select(F.col("digest").alias("_d"), F.col("first").alias("_first"), F.col("copies").alias("_copies"))
     # full texts of hits: one row for each digest and text
     hits = docs.select(digest().alias("_digest"), normalised().alias("_text"), rank().alias("_rank"))
-    hits = hits.join(states.where("copies > 1").select("_d"), F.col("_digest") == F.col("_d"), "left_semi")
+    hits = hits.join(states.where("_copies > 1").select("_d"), F.col("_digest") == F.col("_d"), "left_semi")
     texts = hits.groupBy("_digest", "_text").agg(F.count("*").alias("_n"))
     clashes = texts.groupBy("_digest").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_digest")
     found = rows.join(states, F.col("_digest") == F.col("_d"))
     if clashes.limit(1).count():
-        own = hits.join(clashes, "_digest", "left_semi").groupBy("_digest", "_text").agg(F.min("_rank").alias("_first"), F.count("*").alias("_copies"))
-        found = found.withColumn("_text", normalised()).join(own.withColumnRenamed("_digest", "_d2").withColumnRenamed("_text", "_t2"), (F.col("_digest") == F.col("_d2")) & (F.col("_text") == F.col("_t2")), "left")
-        found = found.withColumn("first", F.coalesce("_first", "first")).withColumn("copies", F.coalesce("_copies", "copies"))
-    return found.select(*docs.columns, F.col("first.doc_id").alias("keep_id"), F.col("copies").alias("group_size"), F.col("_rank").eqNullSafe(F.col("first")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
+        own = hits.join(clashes, "_digest", "left_semi").groupBy(F.col("_digest").alias("_d2"), F.col("_text").alias("_t2")).agg(F.min("_rank").alias("_first2"), F.count("*").alias("_copies2"))
+        found = found.join(own, (F.col("_digest") == F.col("_d2")) & (normalised() == F.col("_t2")), "left")
+        found = found.withColumn("_first", F.coalesce("_first2", "_first")).withColumn("_copies", F.coalesce("_copies2", "_copies"))
+    added = [F.col("_first.doc_id").alias("keep_id"), F.col("_copies").alias("group_size"), F.col("_rank").eqNullSafe(F.col("_first")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")]
+    return found.select(*[c for c in docs.columns if c not in ADDED], *added)
 
 
 __all__ = ["digests", "drop_folder", "exact_groups", "folder_of", "normalised"]

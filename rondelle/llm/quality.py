@@ -77,8 +77,25 @@ def beta_strength(mean: float, variance: float, noise: float) -> float:
     return min(max(mean * (1 - mean) / between - 1, 1.0), 1e4)
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = KEEP_FROM) -> DataFrame:
-    """doc_id, host, path, document_p, site_p, quality_p, kept for each row of docs.
+def site_groups(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """Sums of document_p by host and path, the global share, and the prior strengths of hosts and of paths.
+
+    ``rows``: _host, _path, _p. Sums are pre-aggregated before the shuffle; what
+    comes out has one row per site and is written to the shared folder.
+    """
+    paths = stash(rows.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum("_p").alias("_good")), "sites")
+    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_host_n"), F.sum("_good").alias("_host_good")).withColumnRenamed("_host", "_h")
+    g = hosts.agg(F.sum("_host_good").alias("good"), F.sum("_host_n").alias("n"), F.count("*").alias("k"), F.sum(F.lit(1) / F.col("_host_n")).alias("inv")).first()
+    mu = min(max((g["good"] or 0.0) / (g["n"] or 1), 1e-4), 1 - 1e-4)
+    v = hosts.agg(F.avg(F.pow(F.col("_host_good") / F.col("_host_n") - mu, 2)).alias("v")).first()["v"] or 0.0
+    host_strength = beta_strength(mu, v, mu * (1 - mu) * (g["inv"] or 0.0) / max(g["k"], 1))
+    groups = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
+    inner = groups.agg(F.avg(F.pow(F.col("_good") / F.col("_n") - F.col("_host_good") / F.col("_host_n"), 2)).alias("v"), F.avg(F.lit(1) / F.col("_n")).alias("noise")).first()
+    return groups, mu, host_strength, beta_strength(mu, inner["v"] or 0.0, mu * (1 - mu) * (inner["noise"] or 0.0))
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep_from: float = KEEP_FROM) -> DataFrame:
+    """Adds document_p, site_p, quality_p and kept to each row of docs.
 
     document_p is a logistic classifier's probability of good quality from the
     text alone. Each host's share of good documents is a Beta posterior around
@@ -88,31 +105,34 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     out of its site's sums before it is combined, as odds, with the site's.
     Null texts are empty, null hosts and paths are groups of their own, repeated
     rows are scored each. Without labels of both classes the classifier says the
-    smoothed base rate. An empty table gives an empty result.
+    smoothed base rate. An empty table gives an empty result. Existing columns
+    of the added names are replaced; other columns are kept.
     """
+    added = ["document_p", "site_p", "quality_p", "kept"]
     mean, scale, w, base = train(docs, labels)
-    each = [(F.get("_x", i) - float(m)) / float(s) * float(b) for i, (m, s, b) in enumerate(zip(mean, scale, w[:-1], strict=True))]
-    total = F.lit(float(w[-1]))
-    for e in each:
-        total = total + e
-    rows = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), features(text_or_empty()).alias("_x"))
-    odds = F.greatest(F.least(total, F.lit(base + EVIDENCE)), F.lit(base - EVIDENCE))
-    scored = stash(rows.select("doc_id", "host", "path", odds.alias("odds")).withColumn("document_p", 1 / (1 + F.exp(-F.col("odds")))), "scores")
-    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("document_p").alias("good")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    # scalars: global share and spread of hosts, and of paths around their hosts
-    g = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n"), F.count("*").alias("k"), F.sum(F.lit(1) / F.col("host_n")).alias("inv")).first()
-    mu = min(max((g["good"] or 0.0) / (g["n"] or 1), 1e-4), 1 - 1e-4)
-    v = hosts.agg(F.avg(F.pow(F.col("host_good") / F.col("host_n") - mu, 2)).alias("v")).first()["v"] or 0.0
-    host_strength = beta_strength(mu, v, mu * (1 - mu) * (g["inv"] or 0.0) / max(g["k"], 1))
-    inner = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).agg(F.avg(F.pow(F.col("good") / F.col("n") - F.col("host_good") / F.col("host_n"), 2)).alias("v"), F.avg(F.lit(1) / F.col("n")).alias("noise")).first()
-    path_strength = beta_strength(mu, inner["v"] or 0.0, mu * (1 - mu) * (inner["noise"] or 0.0))
-    groups = paths.join(hosts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "good", "host_n", "host_good")
-    found = scored.join(groups, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
-    own = F.col("document_p")
-    host_p = (mu * host_strength + F.col("host_good") - own) / (host_strength + F.col("host_n") - 1)
-    site_p = (host_p * path_strength + F.col("good") - own) / (path_strength + F.col("n") - 1)
-    found = found.withColumn("site_p", F.greatest(F.least(site_p, F.lit(1 - 1e-4)), F.lit(1e-4)))
-    together = F.col("odds") - base + logit(F.col("site_p"))
-    found = found.withColumn("quality_p", 1 / (1 + F.exp(-together)))
-    return found.select("doc_id", "host", "path", "document_p", "site_p", "quality_p", (F.col("quality_p") >= keep_from).alias("kept"))
+    x = features(text_or_empty())
+    weights = [(float(m), float(s), float(b)) for m, s, b in zip(mean, scale, w[:-1], strict=True)]
+
+    def weigh(xs: Column) -> Column:
+        total = F.lit(float(w[-1]))
+        for i, (m, s, b) in enumerate(weights):
+            total = total + (F.get(xs, i) - m) / s * b
+        return total
+
+    odds = F.greatest(F.least(let(x, weigh), F.lit(base + EVIDENCE)), F.lit(base - EVIDENCE))
+    seen = docs.select(F.col(host).alias("_host"), F.col(path).alias("_path"), (1 / (1 + F.exp(-odds))).alias("_p"))
+    groups, mu, host_strength, path_strength = site_groups(seen)
+    groups = groups.withColumnRenamed("_host", "_gh").withColumnRenamed("_path", "_gp")
+    rows = docs.drop(*added).withColumn("_odds", odds).join(groups, F.col(host).eqNullSafe(F.col("_gh")) & F.col(path).eqNullSafe(F.col("_gp")))
+    own = 1 / (1 + F.exp(-F.col("_odds")))
+    host_p = (mu * host_strength + F.col("_host_good") - own) / (host_strength + F.col("_host_n") - 1)
+    site_p = F.greatest(F.least((host_p * path_strength + F.col("_good") - own) / (path_strength + F.col("_n") - 1), F.lit(1 - 1e-4)), F.lit(1e-4))
+    rows = rows.withColumn("document_p", own).withColumn("site_p", site_p)
+    rows = rows.withColumn("quality_p", 1 / (1 + F.exp(base - F.col("_odds") - logit(F.col("site_p"))))).withColumn("kept", F.col("quality_p") >= keep_from)
+    return rows.select(*[c for c in docs.columns if c not in added], *added)
+
+
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """doc_id, host, path, document_p, site_p, quality_p, kept for each row of docs; see with_quality."""
+    rows = with_quality(docs.select("doc_id", "text", host, path), labels, host, path)
+    return rows.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "document_p", "site_p", "quality_p", "kept")
