@@ -1,13 +1,16 @@
-"""Registry of the engine's own queries and their SQL counterparts."""
+"""All of the engine's own queries and their SQL counterparts."""
 
 from __future__ import annotations
 
-FLAGSHIP = "conversation_tree"
+from . import dialogue, evaluation, series, trees  # noqa: F401  (they register themselves)
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "tree_context_block"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
