@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Attention layers, heads and head size of the reader that the cost formulas are for.
 LAYERS, HEADS, HEAD_DIM = 16, 24, 256
@@ -52,7 +53,7 @@ def concentration(p: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - p / F.when(n > 1, F.log(n)).otherwise(1.0))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def mcnemar_one_sided(b, c):
     """Exact P(X >= c) for c of b + c discordant pairs at one half; 1 without pairs."""
     import pandas as pd

@@ -15,7 +15,7 @@ def best_match(queries: DataFrame, candidates: DataFrame, key: str, threshold: f
 
     ``queries``: key, query_id, vector. ``candidates``: key, candidate_id, ord,
     vector. Gives query_id, candidate_id, score, matched (score at the threshold
-    or over). A query without candidates has nulls. Candidates are reduced
+    or over). A query without candidates has no candidate and score 0. Candidates are reduced
     map-side by max_by, so no list of a query's candidates is ever gathered.
     """
     q = queries.select(key, "query_id", F.col("vector").alias("_q"))

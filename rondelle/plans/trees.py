@@ -60,7 +60,7 @@ def tree_level_block(spark, sf_dir):
     return tree.render(nodes(spark, sf_dir), level_markers=True)
 
 
-@query(TREE + """, p AS (SELECT *, mass / sum(mass) OVER (PARTITION BY conv_id) AS p FROM nodes), b AS (SELECT conv_id, count(*) FILTER (level = 0) AS topics, count(*) FILTER (level = 1) AS sub_topics, count(*) FILTER (level = 2) AS details, count(*) AS n, -sum(p * ln(p + 1e-12)) AS h FROM p GROUP BY conv_id),
+@query(TREE + """, ms AS (SELECT *, mass / sum(mass) OVER (PARTITION BY conv_id) AS p FROM nodes), b AS (SELECT conv_id, count(*) FILTER (level = 0) AS topics, count(*) FILTER (level = 1) AS sub_topics, count(*) FILTER (level = 2) AS details, count(*) AS n, -sum(p * ln(p + 1e-12)) AS h FROM ms GROUP BY conv_id),
 o AS (SELECT conv_id, count(*) AS o FROM i0 WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.conv_id = i0.conv_id AND t1.topic = i0.topic) GROUP BY conv_id)
 SELECT b.conv_id, topics, sub_topics, details, round(details / CAST(n AS DOUBLE), 6) AS depth_ratio, round(coalesce(o, 0) / CAST(topics AS DOUBLE), 6) AS bare_topics, round(CASE WHEN n > 1 THEN h / ln(n) ELSE 0 END, 6) AS entropy FROM b LEFT JOIN o ON b.conv_id = o.conv_id""")
 def tree_metrics(spark, sf_dir):
