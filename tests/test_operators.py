@@ -179,3 +179,31 @@ def test_stream_keeps_trees(spark, tmp_path):
     last = {r["conv_id"]: r for r in out}
     assert (last[1]["round_trips"], last[1]["nodes"], last[2]["nodes"]) == (2, 4, 1)
     assert tree_of(json.loads(last[1]["tree"])) == [("T", [("s", ["d", "e"])])]
+
+
+def test_extraction(spark):
+    from rondelle.operators import extraction
+
+    df = spark.createDataFrame([(1, "The Red Fox met Anna Lee on 2024-05-01 in Oslo. It was a very long and quiet evening. It ended."), (2, None)], "id bigint, t string")
+    got = [tuple(r)[2:] for r in extraction.fact_sentences(df, "t").orderBy("seq").collect()]
+    assert got == [("entity", "Red Fox", None), ("entity", "Anna Lee", None), ("entity", "Oslo", None), ("fact", "The Red Fox met Anna Lee on 2024-05-01 in Oslo.", "Red Fox")]
+    codes = spark.createDataFrame([(1, "Ada uses AB-12 and Bob AB-13; " + "x" * 90 + " ZZ-9")], "id bigint, t string")
+    assert [tuple(r) for r in extraction.code_names(codes, "t").collect()] == [(1, "AB-12", "Ada"), (1, "AB-13", "Bob")]
+    assert extraction.first_json_object('say {"a": "}{", "b": {"c": 1}} x') == '{"a": "}{", "b": {"c": 1}}' and extraction.first_json_object('{"a"') is None
+    assert extraction.node_object('ok {"summary": " s ", "detail": 7, "scores": {"comprehensive": "200", "independent": 3.9, "detail": 1}}') == ("s", {"comprehensive": 100, "independent": 3, "detail": 7})
+    assert extraction.node_object('{"summary": "s"}') is None and extraction.node_object(None) is None and extraction.coerce_score(True) is None
+    assert one(spark, extraction.salvage_strings(F.col("t")), t='["a", "b \\"q\\"", "cut') == ["a", 'b "q"']
+
+
+def test_markers(spark):
+    from rondelle.functions import markers
+
+    block = "<CONTEXT>\n[SN] T\n    [RN] x\n  [PN2.0] S\n    [RN] d\n[SN] U\n    [RN] e\n</CONTEXT>"
+    lines = markers.block_lines(spark.createDataFrame([(1, block)], "g bigint, block string"))
+    carried = lambda reset: [r["carried"] for r in markers.inherited_mass(lines, "g", reset).orderBy("pos").collect()]
+    assert carried(True) == [None, None, 2.0, 2.0, None, None] and carried(False) == [None, None, 2.0, 2.0, None, 2.0]
+    p = spark.createDataFrame([(1, 0, 4.0, 3), (1, 0, 1.0, 3), (1, 7, 1.0, 3), (1, 2, 0.5, 3)], "g bigint, pos int, mass double, n int")
+    assert markers.mass_vector(p, "g", "pos", "mass", "n", 3.0).first()["vector"] == [3.0, 0.0, 0.5]
+    assert one(spark, markers.largest_sub_mass(F.col("t")), t=block) == 2.0
+    assert one(spark, markers.causal_row(F.lit(0), F.lit(2), F.lit(3)), t="x") == [True, True, False]
+    assert sum(one(spark, markers.softmax(F.array(F.lit(1.0), F.lit(2.0))), t="x")) == pytest.approx(1.0)
