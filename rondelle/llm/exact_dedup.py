@@ -83,7 +83,9 @@ def digests(spark: SparkSession, folder: str, schema, files_per_batch: int | Non
 
 
 def folder_of(docs: DataFrame) -> str | None:
-    """The folder (or single file) that a plain parquet scan reads; None if there are several or none."""
+    """The folder (or single file) that a plain parquet scan reads; None if there are several or none, or if docs is more than the scan."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return None
     files = docs.inputFiles()
     if len(files) == 1:
         return f"{files[0][:-1]}[{files[0][-1]}]"  # a stream takes a single file only as a glob

@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words whose counts a worker keeps; then it begins anew.
+#: Words whose counts a worker keeps before it begins anew, and characters of a word that is kept.
 CACHE_WORDS = 500_000
+LONGEST_KEPT = 64
 
 
 class Merges:
@@ -71,9 +72,11 @@ class Counts(dict):
         self.merges, self.pattern = Merges(path), regex.compile(BYTE_LEVEL_PATTERN)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = self.plain(word)
+        out = self.plain(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
     def plain(self, text: str) -> int:

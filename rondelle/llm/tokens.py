@@ -31,8 +31,9 @@ ACROSS = re.compile(r"\s \s|\s \Z")
 #: separators that Python alone takes for white space.
 UNSURE = re.compile("[^\x00-\x1b\x20-įı-ɏЀ-џ‐-‧ぁ-ゖァ-ヺ一-龥]")
 
-#: Entries of a worker's unit table; about 100 MB.
+#: Entries of a worker's unit table, and characters of a unit that is kept; about 100 MB.
 CACHE_ENTRIES = 400_000
+LONGEST_KEPT = 64
 
 
 def byte_level_alphabet() -> list[str]:
@@ -81,11 +82,13 @@ class Units(dict):
         self.pattern = regex.compile(WORD_PATTERN if self.lower else BYTE_LEVEL_PATTERN)
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.known or {})
         ids = [t.id for piece in self.pattern.findall(unit) for t in self.model.tokenize(to_level(piece))]
-        self[unit] = out = np.array(ids, "<u4").tobytes()
+        out = np.array(ids, "<u4").tobytes()
+        if len(unit) <= LONGEST_KEPT:
+            if len(self) >= self.limit:
+                self.clear()
+                self.update(self.known or {})
+            self[unit] = out
         return out
 
     def whole(self, text: str) -> bytes:
