@@ -207,3 +207,19 @@ def test_markers(spark):
     assert one(spark, markers.largest_sub_mass(F.col("t")), t=block) == 2.0
     assert one(spark, markers.causal_row(F.lit(0), F.lit(2), F.lit(3)), t="x") == [True, True, False]
     assert sum(one(spark, markers.softmax(F.array(F.lit(1.0), F.lit(2.0))), t="x")) == pytest.approx(1.0)
+
+
+def test_compaction_and_plans(spark):
+    from rondelle.operators import planning
+
+    texts = ["a" * 30, "b" * 30, "c" * 30, "d" * 200, "e" * 20]
+    summary, recent, folds = planning.fold_history([len(t) for t in texts], texts, 100)
+    assert (summary, recent, folds) == ("a" * 25, [4], 2) and len(summary) <= 25
+    assert planning.fold_history([], [], 10) == ("", [], 0)
+    with pytest.raises(RuntimeError):
+        planning.fold_history([50], ["x" * 50], 40, lambda t, n: t)
+    units = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "g bigint, n bigint, t string")
+    assert tuple(planning.compact(units, "g", "n", "t", 100).first()) == (1, summary, recent, folds)
+    brute = max(p * -(-s // 254) + (9 - s - p) * -(-p // 254) for s in range(10) for p in range(10 - s))
+    assert one(spark, planning.within_turn_requests(F.col("n")), n=9) == brute
+    assert one(spark, planning.ratio_gate(F.col("a"), F.col("b"), 0.5), a=1, b=0) is False
