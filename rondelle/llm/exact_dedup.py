@@ -102,8 +102,8 @@ def exact_groups(docs: DataFrame, folder: str | None = None, files_per_batch: in
     after each run of ASCII white space has become one space; null counts as
     empty. The smallest doc_id stays; of rows repeated with that doc_id the one
     with the first content locator; null ids give way to any id. The digest
-    finds hits, and then whole texts decide: rows of a hit are grouped by digest
-    and text, and a digest of two texts is taken apart.
+    finds hits, and then whole texts decide: rows are grouped by digest and text,
+    and a digest of two texts is taken apart.
     """
     spark = docs.sparkSession
     folder = folder or folder_of(docs)
@@ -114,13 +114,12 @@ def exact_groups(docs: DataFrame, folder: str | None = None, files_per_batch: in
     states, _ = digests(spark, folder, docs.schema, files_per_batch)
     rows = docs.select("*", digest().alias("_digest"), rank().alias("_rank"))
     states = states.select(F.col("digest").alias("_d"), F.col("first").alias("_first"), F.col("copies").alias("_copies"))
-    # full texts of hits: one row for each digest and text
-    hits = docs.select(digest().alias("_digest"), normalised().alias("_text"), rank().alias("_rank"))
-    hits = hits.join(states.where("_copies > 1").select("_d"), F.col("_digest") == F.col("_d"), "left_semi")
-    texts = hits.groupBy("_digest", "_text").agg(F.count("*").alias("_n"))
+    # whole texts, copies met map-side before they move: a digest with one text is sound, however many rows it has
+    texts = docs.select(digest().alias("_digest"), normalised().alias("_text")).groupBy("_digest", "_text").agg(F.lit(1).alias("_one"))
     clashes = texts.groupBy("_digest").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_digest")
     found = rows.join(states, F.col("_digest") == F.col("_d"))
     if clashes.limit(1).count():
+        hits = docs.select(digest().alias("_digest"), normalised().alias("_text"), rank().alias("_rank"))
         own = hits.join(clashes, "_digest", "left_semi").groupBy(F.col("_digest").alias("_d2"), F.col("_text").alias("_t2")).agg(F.min("_rank").alias("_first2"), F.count("*").alias("_copies2"))
         found = found.join(own, (F.col("_digest") == F.col("_d2")) & (normalised() == F.col("_t2")), "left")
         found = found.withColumn("_first", F.coalesce("_first2", "_first")).withColumn("_copies", F.coalesce("_copies2", "_copies"))
