@@ -21,6 +21,8 @@ import numpy as np
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 128
+#: Big-endian, so that a value's bits stand in order.
+WORD = np.dtype(">u4")
 PERCENTILE = 90
 
 
@@ -51,10 +53,9 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, bloc
     parts: list[bytes] = [b""] * blocks
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        shifts = np.arange(w - 1, -1, -1)
         for some in np.array_split(own, -(-len(own) // 2048)):
-            bits = (grid[some][:, :, None] >> shifts & 1).astype(np.uint8).reshape(len(some), -1)
-            for i, packed in zip(some, np.packbits(bits, axis=1), strict=True):
+            bits = np.unpackbits(grid[some].astype(WORD).view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - w :]
+            for i, packed in zip(some, np.packbits(bits.reshape(len(some), -1), axis=1), strict=True):
                 parts[i] = packed.tobytes()
     starts = np.r_[0, np.cumsum([len(p) for p in parts])].astype("<u8")
     patched = np.r_[0, np.cumsum(np.bincount(row, minlength=blocks))].astype("<u4")
@@ -101,12 +102,13 @@ class Reader:
             own = np.flatnonzero(width == w)
             if not w:
                 continue
-            size = self.block * int(w) // 8 if self.block * int(w) % 8 == 0 else -(-self.block * int(w) // 8)
-            weights = 1 << np.arange(int(w) - 1, -1, -1, dtype=np.int64)
+            size = -(-self.block * int(w) // 8)
             for some in np.array_split(own, -(-len(own) // 2048)):
                 raw = self.packed[self.starts[a:b][some].astype(np.int64)[:, None] + np.arange(size)]
-                bits = np.unpackbits(raw, axis=1)[:, : self.block * int(w)].reshape(len(some), self.block, int(w))
-                out[some] = bits @ weights
+                bits = np.unpackbits(raw, axis=1)[:, : self.block * int(w)].reshape(-1, int(w))
+                whole = np.zeros((len(bits), 32), np.uint8)
+                whole[:, 32 - int(w) :] = bits
+                out[some] = np.packbits(whole, axis=1).view(WORD).reshape(len(some), self.block)
         p, q = int(self.patched[a]), int(self.patched[b])
         row = np.repeat(np.arange(b - a), np.diff(self.patched[a : b + 1].astype(np.int64)))
         place = self.place[p:q].astype(np.int64)
