@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 
 from .shared import stash, text_or_empty
 
-#: Words of the table that is sent to the executors, the most frequent ones:
-#: about 25 MB sent, 120 MB in a worker.
+#: Words of the table that is sent to the executors, the most frequent ones, and
+#: the characters of each at most: about 25 MB sent, 120 MB in a worker.
 TABLE_WORDS = 1 << 19
+WORD_CHARS = 64
 
 #: White space in the tokenizer's sense (fixed value: the Unicode property).
 SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: How frequent a word is, in eighths of a power of two.
+EIGHTH = "floor(8 * log2(n))"
+
+
 def splittable(text: Column, special: list[str]) -> Column:
     """True where a text's words can be encoded apart.
 
@@ -41,14 +46,22 @@ def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
 
 
 def word_table(docs: DataFrame, tokenizer: str, limit: int = TABLE_WORDS) -> DataFrame:
-    """(word, ids): the words met more than once, each encoded once; the ``limit`` most frequent ones.
+    """(word, ids): the words met more than once, each encoded once; the most frequent ones, ``limit`` at most.
 
     A word met once is encoded where it stands, which is once as well.
     """
     from .tokens import Units
 
-    counts = word_counts(docs, Units(tokenizer).special).where("n > 1")
-    frequent = counts.orderBy(F.desc("n"), "word").limit(limit).select("word")
+    counts = stash(word_counts(docs, Units(tokenizer).special).where(f"n > 1 AND length(word) <= {WORD_CHARS}"), "counts")
+    # counts by eighths of a power of two: under 600 rows for any corpus, so that no task sorts or gathers the words
+    sizes = {r["at"]: r["n"] for r in counts.groupBy(F.expr(EIGHTH).alias("at")).agg(F.count("*").alias("n")).collect()}
+    taken, least = 0, None
+    for at in sorted(sizes, reverse=True):
+        taken += sizes[at]
+        if taken > limit:
+            break
+        least = at
+    frequent = counts.where(F.expr(EIGHTH) >= least if least is not None else F.lit(False)).select("word")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
