@@ -136,3 +136,16 @@ def mass_vectors(spark, sf_dir):
     v = markers.mass_vector(c.join(n, "conv_id"), "conv_id", "pos", "mass", "n", 2.0, 0.5)
     r = lambda a: F.transform(a, lambda x: F.round(x, 6))
     return v.select("conv_id", r(F.col("vector")).alias("vector"), r(markers.mass_bias(F.col("vector"), 0.9, 1.5, F.lit(4))).alias("bias"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn AS pos, CAST(length(coalesce(text, '')) AS DOUBLE) / 100 AS mass FROM conversations), n AS (SELECT conv_id, max(pos) + 2 AS n FROM p GROUP BY conv_id), a AS (SELECT conv_id, pos, max(least(2.0, mass * 0.5)) AS m FROM p WHERE mass > 0 GROUP BY conv_id, pos)
+SELECT n.conv_id, list(round(coalesce(a.m, 0.0), 6) ORDER BY i) FILTER (i < n.n) AS vector, list(round(least(1.5, coalesce(a.m, 0.0) * 0.9), 6) ORDER BY i) AS bias FROM (SELECT conv_id, n, unnest(range(0, greatest(n, 4))) AS i FROM n) n LEFT JOIN a ON a.conv_id = n.conv_id AND a.pos = i GROUP BY n.conv_id, n.n""")
+def conversation_mass_vectors(spark, sf_dir):
+    """Mass and bias at every position of every conversation, short ones filled to 4 keys; ``mass_vectors`` has the first 4 keys of longer ones alone."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), (F.length(F.coalesce("text", F.lit(""))).cast("double") / 100).alias("mass"))
+    n = c.groupBy("conv_id").agg((F.max("pos") + 2).cast("int").alias("n"))
+    v = markers.mass_vector(c.join(n, "conv_id"), "conv_id", "pos", "mass", "n", 2.0, 0.5)
+    each = n.join(v, "conv_id", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), F.col("n"))))  # without any mass: zeros
+    r = lambda a: F.transform(a, lambda x: F.round(x, 6))
+    return each.select("conv_id", r(F.col("vector")).alias("vector"), r(markers.mass_bias(F.col("vector"), 0.9, 1.5, F.greatest("n", F.lit(4)))).alias("bias"))
