@@ -83,7 +83,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    each = [op1_fingerprints, op2_simhash_near_dedup, op3_sharding, op4_warc_revisits, op5_exact_dedup, op6_best_fit_packing, op7_token_files, op8_bpe_word_table, op9_token_counts, op10_quality]
+    return {f.__name__: f for f in each}
 
 
 OP5_SQL = r"""
