@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words whose counts a worker keeps before it begins anew, and characters of a word that is kept.
+from .tokens import ACROSS, BYTE_LEVEL_PATTERN, Recent, piece_finder, to_level
+
+#: Words, and pieces of words, whose counts a worker keeps.
 CACHE_WORDS = 500_000
-LONGEST_KEPT = 64
 
 
 class Merges:
@@ -60,34 +61,19 @@ class Merges:
         return n - merges
 
 
-class Counts(dict):
-    """Word -> number of tokens; a word but the first of a text begins with its space."""
-
-    def __init__(self, path: str):
-        import regex
-
-        from .tokens import BYTE_LEVEL_PATTERN
+class Counts(Recent):
+    """Word -> number of tokens; a word but the first of a text begins with its space. Pieces have a table of their own."""
 
-        super().__init__()
-        self.merges, self.pattern = Merges(path), regex.compile(BYTE_LEVEL_PATTERN)
-
-    def __missing__(self, word: str) -> int:
-        out = self.plain(word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
+        super().__init__(self.plain, limit=limit)
+        self.merges, self.find = Merges(path), piece_finder(BYTE_LEVEL_PATTERN)
+        self.pieces = Recent(lambda piece: self.merges.count(to_level(piece)), limit=limit)
 
     def plain(self, text: str) -> int:
-        from .tokens import to_level
-
-        return sum(self.merges.count(to_level(p)) for p in self.pattern.findall(text))
+        return sum(map(self.pieces.__getitem__, self.find(text)))
 
     def text(self, text: str | None) -> int:
         """Tokens of a whole text; a special token's text is one token, and what stands between is split apart."""
-        from .tokens import ACROSS
-
         if not text:
             return 0
         for s in self.merges.special:
