@@ -40,10 +40,9 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import exact_groups
+    from .exact_dedup import group_ids
 
-    docs = table(spark, sf_dir, "documents")
-    return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return group_ids(table(spark, sf_dir, "documents"))
 
 
 def vocabulary(name: str) -> str:

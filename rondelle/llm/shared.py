@@ -35,26 +35,63 @@ def scratch(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, fs = file_system(spark, path)
+    fs.deleteOnExit(at)
     return path
 
 
+def stash_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stash``, and the folder, for a caller that drops it once nothing reads it any more."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
     and several readers see the same rows.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stash_at(df, name)[0]
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
+    """Hadoop path and its file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at, fs = file_system(spark, path)
+    fs.delete(at, True)
+
+
+def numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers n of the folders ``prefix``n under ``path``, ascending."""
+    at, fs = file_system(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
+
+#: Rows of a table of the most frequent keys at most.
+HOT_KEYS = 1000
+
+
+def join_sized(rows: DataFrame, sized: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined to the one row of ``sized`` for their key, hot keys apart.
+
+    ``size`` says how many of ``total`` rows have the key. Keys of more than a
+    thousandth of the rows are fewer than a thousand, so they are broadcast and
+    their rows stay where they are; any other key is a thousandth at most of a
+    shuffled join. ``rows`` is scanned twice.
+    """
+    hot = F.col(size) * HOT_KEYS > total
+    few = stash(sized.where(hot), "hot")  # under HOT_KEYS rows
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(sized.where(~hot), key)
+    return rows.join(F.broadcast(few), key).unionByName(cold)
 
 
 def text_or_empty(column: str = "text"):

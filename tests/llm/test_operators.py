@@ -263,6 +263,43 @@ def test_exact_dedup_takes_clashes_apart(spark, tmp_path, monkeypatch):
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(1, 1, 2, True), (2, 2, 2, True), (3, 2, 2, False), (4, 1, 2, False), (5, 5, 1, True)]
 
 
+def test_exact_dedup_reads_only_its_files(spark, tmp_path):
+    """Other files of the folder count for nothing; a filtered or made table is taken as it is."""
+    from rondelle.llm.exact_dedup import exact_groups, group_ids
+
+    at = str(tmp_path / "a [1] {x},y")
+    for i, given in enumerate([[(5, "a"), (7, "b")], [(6, "a")], [(1, "a"), (2, "b")]]):
+        spark.createDataFrame(given, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/part{i}")
+    import shutil
+    from pathlib import Path
+
+    Path(at).mkdir()
+    for i in range(3):
+        shutil.copy(next(Path(f"{tmp_path}/part{i}").glob("*.parquet")), f"{at}/{i}.parquet")
+    escape = lambda p: "".join("\\" + c if c in "[]{},*?\\" else c for c in p)
+    docs = spark.read.parquet(*[escape(f"{at}/{i}.parquet") for i in range(2)])
+    want = [(5, 5, 2, True), (6, 5, 2, False), (7, 7, 1, True)]
+    for got in (exact_groups(docs), group_ids(docs), exact_groups(docs.where("doc_id < 9")), group_ids(spark.createDataFrame(docs.collect(), docs.schema))):
+        assert sorted(tuple(r)[:4] for r in got.select("doc_id", "keep_id", "group_size", "kept").collect()) == want
+
+
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    """A second call finds the texts of the first, checks their bytes at the locator, and keeps what was kept."""
+    from rondelle.llm.exact_dedup import exact_groups, group_ids
+
+    state, kind = str(tmp_path / "state"), "doc_id bigint, text string"
+    batches = [[(5, "a  b"), (6, "a b"), (7, "c"), (None, "d")], [(1, "a\nb"), (2, "e"), (3, "e"), (4, "d")], [(8, "c"), (9, "e"), (10, None), (11, "")]]
+    wants = [
+        [(5, 5, 2, True), (6, 5, 2, False), (7, 7, 1, True), (None, None, 1, True)],
+        [(1, 5, 3, False), (2, 2, 2, True), (3, 2, 2, False), (4, None, 2, False)],
+        [(8, 7, 2, False), (9, 2, 3, False), (10, 10, 2, True), (11, 10, 2, False)],
+    ]
+    for i, (given, want) in enumerate(zip(batches, wants, strict=True)):
+        spark.createDataFrame(given, kind).write.parquet(f"{tmp_path}/in {i}")
+        got = (exact_groups if i % 2 else group_ids)(spark.read.parquet(f"{tmp_path}/in {i}"), state=state)
+        assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept").collect()), key=str) == sorted(want, key=str)
+
+
 def word_ids(t, end):
     return Tokenizer.from_file(WORD).encode(text(t), add_special_tokens=False).ids + [end]
 
