@@ -451,3 +451,39 @@ def test_quality_shrinks_and_holds_out(spark):
     got = {r["doc_id"]: r for r in score(docs, labels).collect()}
     assert all(got[i]["kept"] == (i % 4 > 0) for i in range(400))
     assert abs(got[0]["site_p"] - 0.75) < 0.05
+
+
+@pytest.mark.parametrize("few", [100_000, 2])
+def test_quality_equals_numpy(spark, docs, monkeypatch, few):
+    """Posteriors and combined odds against numpy, from the documents' own probabilities; by broadcast and by split join."""
+    from rondelle.llm import quality
+
+    monkeypatch.setattr(quality, "FEW_SITES", few)
+    labels = spark.createDataFrame([(3 * i, int(i % 3 > 0)) for i in range(45)], "doc_id bigint, quality int")
+    got = quality.score(docs, labels).collect()
+    mean, scale, w, base = quality.train(docs, labels)
+    assert len(got) == len(rows())
+    # each row's own probability, from its features
+    feats = docs.select("doc_id", "source", "lang", quality.features(quality.text_or_empty()).alias("x")).collect()
+    limit = lambda v: min(max(v, base - quality.EVIDENCE), base + quality.EVIDENCE)
+    odds = [limit(float((np.array(r["x"]) - mean) / scale @ w[:-1] + w[-1])) for r in feats]
+    p = [1 / (1 + np.exp(-o)) for o in odds]
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r, q in zip(feats, p, strict=True):
+        hosts[r["source"]].append(q)
+        paths[r["source"], r["lang"]].append(q)
+    mu = min(max(sum(p) / len(p), 1e-4), 1 - 1e-4)
+    strength = lambda v, noise: min(max(mu * (1 - mu) / max(v - noise, 1e-6) - 1, 1.0), 1e4)
+    spread = mu * (1 - mu)
+    top = strength(np.mean([(np.mean(h) - mu) ** 2 for h in hosts.values()]), spread * np.mean([1 / len(h) for h in hosts.values()]))
+    low = strength(np.mean([(np.mean(v) - np.mean(hosts[h])) ** 2 for (h, _), v in paths.items()]), spread * np.mean([1 / len(v) for v in paths.values()]))
+    want = []
+    for r, q, o in zip(feats, p, odds, strict=True):
+        h, v = hosts[r["source"]], paths[r["source"], r["lang"]]
+        at_host = (mu * top + sum(h) - q) / (top + len(h) - 1)
+        site = min(max((at_host * low + sum(v) - q) / (low + len(v) - 1), 1e-4), 1 - 1e-4)
+        both = 1 / (1 + np.exp(base - o - np.log(site / (1 - site))))
+        want.append((r["doc_id"], r["source"], r["lang"], q, site, both, both >= quality.KEEP_FROM))
+    key = lambda r: (str(r[:3]), r[3], r[5])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and np.allclose(a[3:6], b[3:6], rtol=0, atol=1e-9) and a[6] == b[6]
