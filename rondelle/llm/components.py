@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import drop_folder, stash_at
 
 MOST_ROUNDS = 60
 
@@ -21,7 +21,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     out; without links the result is empty.
     """
     first = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}")
-    edges, before = stash(first.distinct(), "edges"), None
+    spark = links.sparkSession
+    (edges, at), before = stash_at(first.distinct(), "edges"), None
     for _ in range(MOST_ROUNDS):
         after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if after["n"] == 0 or after == before:
@@ -32,5 +33,6 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stash(small, "edges")
+        (edges, at), read = stash_at(small, "edges"), at
+        drop_folder(spark, read)  # nothing reads the round before any more
     raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import stash, text_or_empty
+from .shared import join_sized, stash, text_or_empty
 from .simhash import ascii_lower, blocks_for, hex16, permutations, shingles, tables, vote
 
 #: Values joined at once in a task, unless one key alone has more.
@@ -43,6 +43,7 @@ def trie_links(distinct: DataFrame, radius: int) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, full = 0, BATCH_VALUES
 
         def links(table, perm, rep):
             for t in np.unique(table):
@@ -54,16 +55,18 @@ def trie_links(distinct: DataFrame, radius: int) -> DataFrame:
 
         for batch in batches:
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            if sum(len(x[0]) for x in held) >= BATCH_VALUES:
+            size += batch.num_rows
+            if size >= full:
                 table, perm, rep = (np.concatenate(x) for x in zip(*held, strict=True))
-                shift = np.array([64 - key_bits[t] for t in table], np.uint64)
-                key = perm.view(np.uint64) >> shift
+                shift = np.array(key_bits, np.uint64)[table]
+                key = perm.view(np.uint64) >> (np.uint64(64) - shift)
                 new = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1]))
                 cut = new[-1] + 1 if len(new) else 0  # the last key may go on in the next batch
                 if cut:
                     yield from links(table[:cut], perm[:cut], rep[:cut])
-                held = [(table[cut:], perm[cut:], rep[cut:])]
-        if held:
+                held, size = [(table[cut:], perm[cut:], rep[cut:])], len(table) - cut
+                full = max(BATCH_VALUES, 2 * size)  # a long key is copied a few times, not once a batch
+        if size:
             yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return dealt.mapInArrow(join, "a bigint, b bigint")
@@ -81,14 +84,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3) ->
     Words are runs of anything but ASCII white space after lower-casing A-Z.
     component_id is the smallest doc_id reachable over links between
     fingerprints of at most ``radius`` differing bits. Null and empty texts have
-    fingerprint zero and are linked like any other; repeated rows stay; a row
-    with a null doc_id gets the component of its fingerprint (null if no row of
-    it has an id). Equal fingerprints are joined once, so groups of copies cost
-    one row each.
+    fingerprint zero and are linked like any other, texts of any length are read
+    whole, repeated rows stay. A row with a null doc_id links like any other
+    and gets its component's smallest id (null if the component has no id).
+    Equal fingerprints are joined once, so groups of copies cost one row each.
+    An empty table gives an empty result.
     """
     fps = stash(fingerprints(docs, shingle_words), "simhash")
-    reps = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = connected(trie_links(reps.where("rep IS NOT NULL"), radius)).select(F.col("node").alias("rep"), "root")
-    component = reps.join(roots, "rep", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
-    out = fps.join(component, F.col("fp") == F.col("_fp"))
+    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    # the nodes are the fingerprints, so that rows without an id carry links too
+    roots = connected(trie_links(distinct.select("fp", F.col("fp").alias("rep")), radius)).select(F.col("node").alias("fp"), "root")
+    # large components are few, one row each after the map-side minimum
+    rooted = stash(distinct.join(roots, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    component = join_sized(rooted.select("fp", "copies", "root"), least, "root", "members", rooted.count())
+    out = join_sized(fps, component.select("fp", "copies", "component_id"), "fp", "copies", fps.count())
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")

@@ -126,15 +126,36 @@ def test_near_dedup(docs, none):
     distinct = sorted({fp(t) for _, t in given})
     group = dict(zip(distinct, components(distinct)))
     smallest = defaultdict(lambda: None)
-    owned = {fp(t) for d, t in given if d is not None}
-    linked = dict(zip(sorted(owned), components(sorted(owned))))
     for d, t in given:
         if d is not None:
-            k = linked[fp(t)]
+            k = group[fp(t)]
             smallest[k] = d if smallest[k] is None else min(smallest[k], d)
-    want = Counter((d, f"{fp(t):016x}", smallest[linked[fp(t)]] if fp(t) in linked else None) for d, t in given)
+    want = Counter((d, f"{fp(t):016x}", smallest[group[fp(t)]]) for d, t in given)
     assert Counter(map(tuple, near_duplicates(docs).collect())) == want
-    assert near_duplicates(none).collect() == [] and group
+    assert near_duplicates(none).collect() == []
+
+
+LONE = 0x3FFFF000F0F0F000
+
+
+def test_near_dedup_links_through_rows_without_id(spark, monkeypatch):
+    """1 - null - 9, each 3 bits from the next, are one component; small batches and hot fingerprints change nothing."""
+    from rondelle.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BATCH_VALUES", 5)
+    rnd = random.Random(8)
+    far = [rnd.getrandbits(63) for _ in range(300)]
+    given = [(9, 0b111000), (None, 0b111), (1, 0), (None, LONE), *((20 + i, f) for i, f in enumerate(far)), *((400 + i, f ^ 5) for i, f in enumerate(far[:90])), *((1000 + i, far[0]) for i in range(400))]
+    rows = spark.createDataFrame(given, "doc_id bigint, fp bigint").cache()
+    monkeypatch.setattr(near_dedup, "fingerprints", lambda docs, words: docs)
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in near_dedup.near_duplicates(rows).collect()}
+    group = dict(zip(sorted({f for _, f in given}), components(sorted({f for _, f in given}))))
+    least = {}
+    for d, f in given:
+        if d is not None:
+            least[group[f]] = min(d, least.get(group[f], d))
+    assert got == {(d, f"{f:016x}"): least.get(group[f]) for d, f in given}
+    assert got[9, f"{0b111000:016x}"] == got[None, f"{0b111:016x}"] == 1 and got[None, f"{LONE:016x}"] is None
 
 
 @pytest.mark.parametrize("seed", range(4))
