@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .tokens import ACROSS, BYTE_LEVEL_PATTERN, Recent, piece_finder, to_level
 
 #: Words, and pieces of words, whose counts a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 
 class Merges:
@@ -62,15 +62,15 @@ class Merges:
 
 
 class Counts(Recent):
-    """Word -> number of tokens; a word but the first of a text begins with its space. Pieces have a table of their own."""
+    """Word -> number of tokens; a word but the first of a text begins with its space. Its pieces share the table."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         super().__init__(self.plain, limit=limit)
         self.merges, self.find = Merges(path), piece_finder(BYTE_LEVEL_PATTERN)
-        self.pieces = Recent(lambda piece: self.merges.count(to_level(piece)), limit=limit)
 
     def plain(self, text: str) -> int:
-        return sum(map(self.pieces.__getitem__, self.find(text)))
+        found = self.find(text)
+        return sum(map(self.__getitem__, found)) if len(found) > 1 else sum(self.merges.count(to_level(p)) for p in found)
 
     def text(self, text: str | None) -> int:
         """Tokens of a whole text; a special token's text is one token, and what stands between is split apart."""

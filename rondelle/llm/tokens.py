@@ -38,8 +38,8 @@ SURE_ASCII = bytes([*range(0x00, 0x1C), *range(0x20, 0x7F)])
 #: Marks that are a piece of their own after letters.
 MARKS = frozenset(",.;:!?")
 
-#: Entries of a worker's unit table (and half as many of pieces), and characters of a unit that is kept: about 250 bytes each.
-CACHE_ENTRIES = 800_000
+#: Entries of a worker's unit table, and characters of a unit that is kept: about 200 bytes each.
+CACHE_ENTRIES = 600_000
 LONGEST_KEPT = 64
 
 #: The two patterns within ASCII, for the plain regex engine: the same pieces, found faster.
@@ -115,8 +115,9 @@ def piece_finder(pattern: str):
 class Units(Recent):
     """Unit -> its ids as little-endian unsigned 32-bit integers.
 
-    Pieces of units (a word without its comma, say) have a table of their own.
-    ``known`` is a table that stays; memory is bounded for any corpus.
+    A unit's pieces (a word without its comma, say) are units themselves, so
+    they share the table. ``known`` is a table that stays; memory is bounded
+    for any corpus.
     """
 
     def __init__(self, path: str, known: dict | None = None, limit: int = CACHE_ENTRIES):
@@ -127,7 +128,6 @@ class Units(Recent):
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.lower = spec["normalizer"] is not None
         self.find = piece_finder(WORD_PATTERN if self.lower else BYTE_LEVEL_PATTERN)
-        self.pieces = Recent(self.encode_piece, limit=limit // 2)
 
     def encode_piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isalpha() else to_level(piece))]
@@ -136,10 +136,11 @@ class Units(Recent):
     def encode_unit(self, unit: str) -> bytes:
         word = unit[1:] if unit[:1] == " " else unit
         if word.isalpha():  # letters are one piece, with the space before them
-            return self.pieces[unit]
+            return self.encode_piece(unit)
         if word[-1:] in MARKS and word[:-1].isalpha():
-            return self.pieces[unit[:-1]] + self.pieces[unit[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.find(unit)))
+            return self[unit[:-1]] + self[unit[-1]]
+        found = self.find(unit)
+        return b"".join(map(self.__getitem__, found)) if len(found) > 1 else b"".join(map(self.encode_piece, found))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
