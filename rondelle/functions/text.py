@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Clause connectives, abbreviations, interrogatives, refusals and number words that results depend on.
 JA_CONNECTIVES = ["また", "例えば", "ところで", "しかし", "ただし", "なお", "一方", "さらに", "そして", "次に", "つまり", "従って", "したがって", "そのため"]
@@ -12,6 +16,12 @@ ABBREVIATIONS = ["e.g", "i.e", "etc", "vs", "cf", "al", "approx", "est", "mr", "
 INTERROGATIVES = ["what", "when", "where", "who", "which", "how", "why", "did", "do", "does", "is", "are", "can", "could", "would", "will", "tell me", "remind me", "recall"]
 REFUSALS = ["not in context", "not in the context", "not mentioned", "not mentioned in context", "not mentioned in the context", "not stated", "not specified", "not provided", "not available", "not found", "no information", "no answer", "unknown", "n a", "na", "none", "i don t know", "cannot determine", "can t determine", "unable to determine", "insufficient information", "not enough information"]
 NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"]
+#: What counts as yes, no and negation in a judge's reply, and the list marks and labels before it.
+YES_PARTS = ["はい", "同じ"]
+NO_PARTS = ["いいえ", "異なる"]
+NEGATIONS = ["ではない", "では ない", "ではありません", "とは言えません", "とは言えない", "違います", "違う", "異なります", "異なり", "いや", "not the same", "does not", "doesn't", "do not", "don't", "isn't", "is not", "are not", "aren't", "no."]
+LIST_MARKS = r"\-*•・"
+ANSWER_LABELS = ["answer", "response", "reply", "ans", "a", "回答", "答え", "返答"]
 DASHES = "‐‑‒–—－"
 
 #: Separator of cut texts; never part of a text.
@@ -32,17 +42,52 @@ def cut_pieces(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, CUT), strip), lambda p: p != "")
 
 
+def _beyond_ascii(text: Column) -> Column:
+    """The text if it has a character beyond ASCII, else null: only such rows' texts go to Python."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), text)
+
+
+@F.pandas_udf(StringType())
+def _lower_nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t.lower()))
+
+
+@F.pandas_udf(StringType())
+def _nfkc_casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def lower_nfkc(text: Column) -> Column:
+    """Lower case, then Unicode compatibility composition, for which Spark has no function; not for use inside lambdas."""
+    return F.coalesce(_lower_nfkc(_beyond_ascii(text)), F.lower(text))
+
+
+def nfkc_casefold(text: Column) -> Column:
+    """Unicode compatibility composition, then case folding; not for use inside lambdas."""
+    return F.coalesce(_nfkc_casefold(_beyond_ascii(text)), F.lower(text))
+
+
+def normalise_folded(text: Column) -> Column:
+    """Dashes folded, punctuation to spaces, white space collapsed, of a text that lower_nfkc has folded."""
+    dashes = F.translate(text, DASHES, "-" * len(DASHES))
+    return squeeze(F.regexp_replace(dashes, r"(?U)[^\p{L}\p{N}_\s]", " "))
+
+
 def normalise(text: Column) -> Column:
-    """Lower case, dashes folded, punctuation to spaces, white space collapsed. Texts are taken to be NFKC already."""
-    folded = F.translate(F.lower(text), DASHES, "-" * len(DASHES))
-    return squeeze(F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}_\s]", " "))
+    """Lower case, NFKC, dashes folded, punctuation to spaces, white space collapsed."""
+    return normalise_folded(lower_nfkc(text))
+
+
+def keep_decimal_folded(text: Column) -> Column:
+    """normalise_folded, but a point between digits stays."""
+    dashes = F.translate(text, DASHES, "-" * len(DASHES))
+    dotted = F.regexp_replace(dashes, r"(?U)[^\p{L}\p{N}_\s.]", " ")
+    return squeeze(F.regexp_replace(dotted, r"(?<!\d)\.|\.(?!\d)", " "))
 
 
 def normalise_keep_decimal(text: Column) -> Column:
     """normalise, but a point between digits stays."""
-    folded = F.translate(F.lower(text), DASHES, "-" * len(DASHES))
-    dotted = F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}_\s.]", " ")
-    return squeeze(F.regexp_replace(dotted, r"(?<!\d)\.|\.(?!\d)", " "))
+    return keep_decimal_folded(lower_nfkc(text))
 
 
 def number_words_to_digits(text: Column) -> Column:
@@ -141,16 +186,38 @@ def first_number01(text: Column) -> Column:
     return F.when(found == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), found.try_cast("double")))
 
 
+def meaningful_line(text: Column) -> Column:
+    """First line that says something: not blank, no bare code fence, list marks and labels taken off; empty if there is none."""
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"), strip)
+    # a fence around a single word (a language's name) or around nothing carries no answer
+    bare = F.transform(lines, lambda x: F.when(x.startswith("```"), strip(F.regexp_replace(x, "^`+|`+$", ""))).otherwise(x))
+    opened = F.zip_with(lines, bare, lambda x, y: F.when(x.startswith("```") & y.rlike(r"^\p{L}*$"), F.lit("")).otherwise(y))
+    labels = "|".join(ANSWER_LABELS)
+    heads = rf"(?iU)^(?:(?:[{LIST_MARKS}]\s+|\d+\s*[.)]\s+|>\s+)|(?:{labels})\s*[:：]\s*|\s+)+"
+    # "1. " and the like need a space behind them, which stripping takes: the marks are taken off with it in place
+    plain = F.transform(opened, lambda x: strip(F.regexp_replace(x, heads, "")))
+    return F.coalesce(F.get(F.filter(plain, lambda x: x != ""), 0), F.lit(""))
+
+
+def _has_any(text: Column, phrases: list[str]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
 def yes_no(text: Column) -> Column:
-    """True, False or null for the first non-empty line: a negation wins, both or neither is null."""
-    line = F.lower(F.regexp_replace(first_line(text), r"(?i)^\s*(?:(?:[-*•・]\s+|\d+\s*[.)]\s+|>\s+)|(?:answer|response|reply|ans|a)\s*[:：]\s*)*", ""))
-    yes, no = line.rlike(r"(?<!\w)(?:yes|true)(?!\w)"), line.rlike(r"(?<!\w)(?:no|false)(?!\w)")
-    return F.when(line.rlike(r"(?:does not|do not|is not|are not|not the same|isn't|doesn't)"), F.lit(False)).when(yes == no, F.lit(None)).otherwise(yes)
+    """True, False or null for the first meaningful line: a negation wins, both or neither is null."""
+    line = meaningful_line(F.coalesce(text, F.lit("")))
+    low = F.lower(line)
+    yes = low.rlike(r"(?U)\b(?:yes|y|true)\b") | _has_any(line, YES_PARTS)
+    no = low.rlike(r"(?U)\b(?:no|n|false)\b") | _has_any(line, NO_PARTS)
+    return F.when(_has_any(low, NEGATIONS), F.lit(False)).when(yes == no, F.lit(None)).otherwise(yes)
 
 
 def dedup_key(text: Column) -> Column:
-    """Lower case without punctuation, separators and control characters. Texts are taken to be NFKC already."""
-    return F.regexp_replace(F.lower(text), r"[\p{P}\p{Z}\p{C}]", "")
+    """NFKC and case folded, without punctuation, separators and control characters."""
+    return F.regexp_replace(nfkc_casefold(text), r"[\p{P}\p{Z}\p{C}]", "")
 
 
 def node_text_problem(text: Column, finish_reason: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,47 +37,53 @@ def fact_sentences(df: DataFrame, text: str, most_entities: int = 5, most_facts:
     return e.select(*keys, F.posexplode(F.concat(names, facts)).alias("seq", "x")).select(*keys, "seq", "x.*")
 
 
+#: How a code and a name look, and capitalised words that name nothing.
+CODE = r"(?:^|[^A-Za-z0-9-])([A-Z]{2,}-\d+)(?![A-Za-z0-9])"
+NAME = r"(?:^|[^A-Za-z])([A-Z][a-z]+[A-Za-z]*)(?![A-Za-z])"
+NOT_A_NAME = ["User", "Assistant", "System", "Hi", "Hello", "Yes", "No", "JSON", "ID", "Code", "Name", "Project", "BERT", "SBERT", "LLM", "API", "Phase", "Turn", "Total", "RESP", "USER", "TEST", "DEBUG"]
+
+
 def code_names(df: DataFrame, text: str, reach: int = 80) -> DataFrame:
-    """Each code (AB-12) with the nearest capitalised name within ``reach`` characters; the earlier of two as near wins.
+    """Each code of a text once with the nearest name within ``reach`` characters; the earlier of two as near wins.
 
-    Codes and names of one text meet in Arrow batches, as their distance needs
-    match positions.
+    A code's first place that has a name in reach counts. Distances need the
+    places of matches, so texts meet the patterns in Arrow batches; in each,
+    names are searched by bisection from a code's place.
     """
     keys = [c for c in df.columns if c != text]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
-    code, name = re.compile(r"[A-Z]{2,}-\d+"), re.compile(r"(?<![A-Za-z])[A-Z][a-z]+(?: [A-Z][a-z]+)?")
+    code, name = re.compile(CODE), re.compile(NAME)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.to_dict("records"):
-                t = row[text] or ""
-                names = [(m.start(), m.group()) for m in name.finditer(t)]
+                t, paired = row[text] or "", {}
+                found = [(m.start(), m.group(1)) for m in name.finditer(t) if m.group(1) not in NOT_A_NAME]
+                places = [at for at, _ in found]
                 for m in code.finditer(t):
-                    near = [(abs(p - m.start()), p, n) for p, n in names if abs(p - m.start()) <= reach]
-                    if near:
-                        out.append((*[row[k] for k in keys], m.group(), min(near)[2]))
+                    i = bisect_left(places, m.start())
+                    near = [(abs(found[j][0] - m.start()), j) for j in (i - 1, i) if 0 <= j < len(found)]
+                    if near and min(near)[0] <= reach:
+                        paired.setdefault(m.group(1), found[min(near)[1]][1])
+                out += [(*[row[k] for k in keys], c, n) for c, n in paired.items()]
             yield pd.DataFrame(out, columns=[*keys, "code", "name"])
 
     return df.mapInPandas(pairs, f"{schema}, code string, name string")
 
 
 def first_json_object(raw: str | None) -> str | None:
-    """The first balanced {...}, braces inside strings aside."""
-    start = (raw or "").find("{")
-    if start < 0:
-        return None
-    depth, quoted, escaped = 0, False, False
-    for i, c in enumerate(raw[start:], start):
-        if quoted:
-            escaped = c == "\\" and not escaped
-            quoted = not (c == '"' and raw[i - 1] != "\\") if not escaped else True
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
+    """The first balanced {...}; braces inside strings, those before it included, do not count."""
+    depth, start = 0, 0
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|\Z|\\\Z)|[{}]', raw or "", re.DOTALL):
+        token = m.group()
+        if token == "{":
+            start = start if depth else m.start()
+            depth += 1
+        elif token == "}" and depth:
+            depth -= 1
             if not depth:
-                return raw[start : i + 1]
+                return raw[start : m.end()]
     return None
 
 

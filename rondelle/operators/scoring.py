@@ -14,38 +14,50 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+#: Separators inside folded candidates: of the parts of one, and of candidates.
+PART, CANDIDATE = "\x1e", "\x1d"
+
+
 def matches(candidate: Column, hay: Column, hay_decimal: Column) -> Column:
-    """One candidate against a normalised answer: all of its ``&`` parts, short ones as whole tokens."""
+    """One folded candidate against a normalised answer: all of its parts, short ones as whole tokens."""
 
     def simple(part: Column) -> Column:
         def test(exact: Column) -> Column:
             token = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), exact, F.lit(r"\E(?![\w.])"))
-            return F.when(exact == "", F.lit(False)).when(T.is_short_needle(exact), F.rlike(hay_decimal, token)).otherwise(_let(T.number_words_to_digits(T.normalise(part)), lambda n: (n != "") & F.contains(hay, n)))
+            return F.when(exact == "", F.lit(False)).when(T.is_short_needle(exact), F.rlike(hay_decimal, token)).otherwise(_let(T.number_words_to_digits(T.normalise_folded(part)), lambda n: (n != "") & F.contains(hay, n)))
 
-        return _let(T.number_words_to_digits(T.normalise_keep_decimal(part)), test)
+        return _let(T.number_words_to_digits(T.keep_decimal_folded(part)), test)
 
-    parts = F.filter(F.split(candidate, " & "), lambda p: F.trim(p) != "")
-    return F.when(F.contains(candidate, F.lit(" & ")), (F.size(parts) > 0) & F.forall(parts, simple)).otherwise(simple(candidate))
+    parts = F.filter(F.split(candidate, PART), lambda p: F.trim(p) != "")
+    return F.when(F.contains(candidate, F.lit(PART)), (F.size(parts) > 0) & F.forall(parts, simple)).otherwise(simple(candidate))
 
 
 def tier1(df: DataFrame, gold: str, aliases: str, answer: str) -> DataFrame:
     """Adds ``passed`` and ``matched_alias`` (null when the gold itself matched).
 
     An answer that says "not known" passes only if the gold or an alias says so
-    too. Gold first, then aliases in their order.
+    too. Gold first, then aliases in their order; a candidate of several parts
+    (`` & `` between them) needs them all.
     """
-    rows = df.withColumn("_scrubbed", T.scrub(F.col(answer)))
-    rows = rows.withColumn("_hay", T.number_words_to_digits(T.normalise(F.col("_scrubbed")))).withColumn("_dec", T.number_words_to_digits(T.normalise_keep_decimal(F.col("_scrubbed"))))
-    refused = T.normalise(F.col("_scrubbed")).isin(T.REFUSALS)
-    tries = F.concat(F.array(F.struct(F.col(gold).alias("c"), F.lit(None).cast("string").alias("label"))), F.transform(F.coalesce(F.col(aliases), F.array().cast("array<string>")), lambda a: F.struct(a.alias("c"), a.alias("label"))))
-    hits = F.filter(tries, lambda t: F.when(refused, T.normalise(t["c"]).isin(T.REFUSALS)).otherwise(matches(t["c"], F.col("_hay"), F.col("_dec"))))
+    rows = df.withColumn("_folded", T.lower_nfkc(T.scrub(F.col(answer)))).withColumn("_plain", T.normalise_folded(F.col("_folded")))
+    rows = rows.withColumn("_hay", T.number_words_to_digits(F.col("_plain"))).withColumn("_dec", T.number_words_to_digits(T.keep_decimal_folded(F.col("_folded"))))
+    # all candidates of a row are folded in one string, as folding cannot be done inside lambdas; a null one matches nothing
+    labels = F.coalesce(F.col(aliases), F.array().cast("array<string>"))
+    each = F.concat(F.array(F.coalesce(F.col(gold), F.lit(""))), F.transform(labels, lambda a: F.coalesce(a, F.lit(""))))
+    joined = F.array_join(F.transform(each, lambda c: F.replace(c, F.lit(" & "), F.lit(PART))), CANDIDATE)
+    rows = rows.withColumn("_each", F.split(T.lower_nfkc(joined), CANDIDATE))
+    tries = F.zip_with(F.col("_each"), F.concat(F.array(F.lit(None).cast("string")), labels), lambda c, label: F.struct(c.alias("c"), label.alias("label")))
+    refused = F.col("_plain").isin(T.REFUSALS)
+    same = lambda c: T.normalise_folded(F.replace(c, F.lit(PART), F.lit(" & "))).isin(T.REFUSALS)
+    hits = F.filter(tries, lambda t: F.when(refused, same(t["c"])).otherwise(matches(t["c"], F.col("_hay"), F.col("_dec"))))
     rows = rows.withColumn("_hits", F.when(F.col("_hay") != "", hits).otherwise(F.slice(tries, 1, 0)))
-    return rows.withColumn("passed", F.size("_hits") > 0).withColumn("matched_alias", F.get("_hits", 0)["label"]).drop("_scrubbed", "_hay", "_dec", "_hits")
+    return rows.withColumn("passed", F.size("_hits") > 0).withColumn("matched_alias", F.get("_hits", 0)["label"]).drop("_folded", "_plain", "_hay", "_dec", "_each", "_hits")
 
 
 def contained(response: Column, gold: Column) -> Column:
     """Normalised gold inside the normalised response; an empty gold never is."""
-    return _let(T.normalise(gold), lambda g: (g != "") & F.contains(T.normalise(response), g))
+    said = T.normalise(gold)
+    return (said != "") & F.contains(T.normalise(response), said)
 
 
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -64,14 +64,20 @@ def _turn() -> Column:
     return F.row_number().over(_of("level", "parent_id").orderBy("created", "seq", "node_id"))
 
 
-def within_capacity(nodes: DataFrame, capacity: tuple[int, int, int] = CAPACITY) -> DataFrame:
-    """The first nodes under each parent, up to the level's limit; a dropped node takes its subtree along."""
+def with_fit(nodes: DataFrame, capacity: tuple[int, int, int] = CAPACITY) -> DataFrame:
+    """Adds ``fits``: false for nodes beyond the level's limit under their parent, in order of arrival, and for their subtrees."""
     most = F.element_at(F.array(*map(F.lit, capacity)), F.col("level") + 1)
     n = nodes.repartition("conv_id").withColumn("_fits", _turn() <= most)
     topic = F.max(F.when(F.col("level") == 0, F.col("_fits"))).over(_of("topic_id"))
     sub = F.max(F.when(F.col("level") == 1, F.col("_fits"))).over(_of("sub_id"))
     n = n.withColumn("_topic", topic).withColumn("_sub", (F.col("level") == 0) | sub)
-    return n.where("_fits AND _topic AND _sub").select(*nodes.columns)
+    return n.select(*nodes.columns, F.expr("_fits AND _topic AND _sub").alias("fits"))
+
+
+def within_capacity(nodes: DataFrame, capacity: tuple[int, int, int] = CAPACITY) -> DataFrame:
+    """The nodes, if all fit; a tree that is too large for its limits fails the query rather than losing nodes."""
+    said = F.concat(F.lit("tree is full: conversation "), F.col("conv_id").cast("string"), F.lit(", node "), F.col("node_id"))
+    return with_fit(nodes, capacity).where(F.when(F.col("fits"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).select(*nodes.columns)
 
 
 def with_mass(nodes: DataFrame, floor: float = 1.0, defaults: tuple[float, float, float] = DEFAULTS) -> DataFrame:

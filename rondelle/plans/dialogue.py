@@ -147,7 +147,7 @@ def sliding_windows(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, {NORMAL.format("t")} AS normal, md5(regexp_replace(lower(t), '[\\p{{P}}\\p{{Z}}\\p{{C}}]', '', 'g')) AS dedup_key,
+SELECT doc_id, {NORMAL.format("t")} AS normal, md5(regexp_replace(replace(lower(t), 'ß', 'ss'), '[\\p{{P}}\\p{{Z}}\\p{{C}}]', '', 'g')) AS dedup_key,
   array_to_string(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')[1:32], ' ') AS words32, greatest(1, length(t) // 4)::INT AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def normalised_texts(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
@@ -155,7 +155,7 @@ def normalised_texts(spark, sf_dir):
 
 
 @query("""
-SELECT key, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[\\p{P}\\p{Z}\\p{C}]', '', 'g')) AS key FROM documents) GROUP BY key""".replace("\\\\", "\\"))
+SELECT key, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, md5(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{P}\\p{Z}\\p{C}]', '', 'g')) AS key FROM documents) GROUP BY key""".replace("\\\\", "\\"))
 def statement_dedup(spark, sf_dir):
     key = F.md5(T.dedup_key(F.coalesce("text", F.lit(""))).cast("binary")).alias("key")
     return table(spark, sf_dir, "documents").select("doc_id", key).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))

@@ -52,21 +52,11 @@ def source_gates(spark, sf_dir):
     return g.select("source", planning.ratio_gate(F.col("bad"), F.col("n"), 0.15).alias("stop"), planning.should_replace(F.col("t"), F.col("q"), 0.75).alias("better"))
 
 
-@query("""
-WITH y AS (SELECT user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
-SELECT user_id, bool_and(coalesce(value > p, true)) AS grows, arg_max(value, r) >= 1.5 * arg_min(value, r) AS enough FROM y WHERE r <= 3 GROUP BY user_id""")
-def early_growth(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    first = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("r <= 3")
-    return planning.strictly_grows(first, "user_id", "r", "value", 1.5)
-
-
 @query("""
 WITH y AS (SELECT user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 SELECT user_id, bool_and(coalesce(value > p, true)) AS grows, arg_max(value, r) >= 1.5 * arg_min(value, r) AS enough FROM y GROUP BY user_id""")
 def user_growth(spark, sf_dir):
-    """Growth over all events of each user; ``early_growth`` judges the first three alone."""
+    """Growth over all events of each user."""
     from pyspark.sql import Window as W
 
     each = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))

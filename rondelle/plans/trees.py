@@ -16,7 +16,8 @@ def facts(spark, sf_dir):
     trips = dialogue.round_trips(table(spark, sf_dir, "conversations"))
     word = lambda c: F.lower(F.regexp_extract(c, r"(\p{L}+)", 1))
     each = trips.select("conv_id", F.col("round_trip").alias("created"), word(F.col("user_text")).alias("topic"), F.posexplode_outer(F.filter(F.transform(F.split("assistant_text", r"\."), T.strip), lambda s: s.rlike(r"\p{L}"))).alias("seq", "detail"))
-    return each.where("topic <> ''").select("conv_id", "created", F.coalesce(F.col("seq"), F.lit(-1)).cast("bigint").alias("seq"), "topic", word(F.col("detail")).alias("sub_topic"), "detail")
+    each = each.withColumn("topic", F.when(F.col("topic") == "", F.lit("(none)")).otherwise(F.col("topic")))
+    return each.where("topic IS NOT NULL").select("conv_id", "created", F.coalesce(F.col("seq"), F.lit(-1)).cast("bigint").alias("seq"), "topic", word(F.col("detail")).alias("sub_topic"), "detail")
 
 
 def nodes(spark, sf_dir, floor: float = 1.0):
@@ -25,8 +26,8 @@ def nodes(spark, sf_dir, floor: float = 1.0):
 
 
 FACTS = r"""
-ft AS (SELECT conv_id, round_trip AS created, lower(regexp_extract(user_text, '(\p{L}+)', 1)) AS topic, list_filter(list_transform(string_split(assistant_text, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '\p{L}')) AS ds FROM trips),
-fe AS (SELECT conv_id, created, topic, ds, unnest(CASE WHEN len(ds) = 0 THEN [-1] ELSE range(0, len(ds)) END) AS seq FROM ft WHERE topic <> ''),
+ft AS (SELECT conv_id, user_text, round_trip AS created, coalesce(nullif(lower(regexp_extract(user_text, '(\p{L}+)', 1)), ''), '(none)') AS topic, list_filter(list_transform(string_split(assistant_text, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '\p{L}')) AS ds FROM trips),
+fe AS (SELECT conv_id, created, topic, ds, unnest(CASE WHEN len(ds) = 0 THEN [-1] ELSE range(0, len(ds)) END) AS seq FROM ft WHERE user_text IS NOT NULL),
 facts AS (SELECT conv_id, created, seq, topic, CASE WHEN seq >= 0 THEN ds[seq + 1] END AS detail, CASE WHEN seq >= 0 THEN lower(regexp_extract(ds[seq + 1], '(\p{L}+)', 1)) END AS sub_topic FROM fe),
 t0 AS (SELECT conv_id, topic, min((created, seq)) AS f FROM facts GROUP BY ALL),
 t1 AS (SELECT conv_id, topic, sub_topic, min((created, seq)) AS f FROM facts WHERE sub_topic IS NOT NULL GROUP BY ALL),
@@ -94,24 +95,28 @@ def tree_budgeted_recency(spark, sf_dir):
     return tree.budgeted(nodes(spark, sf_dir), 600, "recency")
 
 
-@query(TREE + "SELECT conv_id, level, text FROM nodes WHERE topic_idx < 2 AND sub_idx < 3 AND detail_idx < 1")
+@query(TREE + "SELECT conv_id, level, text, topic_idx < 2 AND sub_idx < 3 AND detail_idx < 1 AS fits FROM nodes")
 def tree_capacity(spark, sf_dir):
-    return tree.within_capacity(tree.merge_exact(facts(spark, sf_dir)), (2, 3, 1)).select("conv_id", "level", "text")
+    return tree.with_fit(tree.merge_exact(facts(spark, sf_dir)), (2, 3, 1)).select("conv_id", "level", "text", "fits")
 
 
 LINES = TREE + """, ln AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY topic_idx, sub_idx, detail_idx) AS INT) AS pos, level, CASE level WHEN 0 THEN 'SN' WHEN 1 THEN 'PN' ELSE 'RN' END AS marker, CASE WHEN level = 1 THEN mass END AS mass, text FROM nodes)
 """
-#: Topics and sub-topics are words and details are sentences without line breaks only where the text has none.
-FLAT = "NOT contains(text, chr(10))"
+#: A node is one line of a block that is read back: line breaks inside a text become spaces.
+FLAT = "replace(text, chr(10), ' ')"
 
 
-@query(LINES + f"SELECT conv_id, level, marker, mass, text FROM ln WHERE {FLAT}")
+def flat_nodes(spark, sf_dir):
+    return nodes(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+
+
+@query(LINES + f"SELECT conv_id, level, marker, mass, {FLAT} AS text FROM ln")
 def block_lines(spark, sf_dir):
-    flat = nodes(spark, sf_dir).where(~F.contains("text", F.lit("\n")))
+    flat = flat_nodes(spark, sf_dir)
     return markers.block_lines(tree.render(flat, level_markers=True)).select("conv_id", "level", "marker", "mass", "text")
 
 
-CARRIED = LINES + f""", f AS (SELECT conv_id, pos, level, mass FROM ln WHERE {FLAT}),
+CARRIED = LINES + """, f AS (SELECT conv_id, pos, level, mass FROM ln),
 r AS (SELECT *, sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM f),
 c AS (SELECT conv_id, pos, level, CASE level WHEN 1 THEN mass WHEN 2 THEN last_value(CASE WHEN level = 1 THEN mass END IGNORE NULLS) OVER (PARTITION BY conv_id, run ORDER BY pos) END AS within_topic,
         CASE level WHEN 1 THEN mass WHEN 2 THEN last_value(CASE WHEN level = 1 THEN mass END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos) END AS across_topics FROM r)
@@ -120,29 +125,18 @@ c AS (SELECT conv_id, pos, level, CASE level WHEN 1 THEN mass WHEN 2 THEN last_v
 
 @query(CARRIED + "SELECT conv_id, level, count(*) AS n, round(sum(within_topic), 6) AS within_topic, round(sum(across_topics), 6) AS across_topics FROM c GROUP BY conv_id, level")
 def inherited_masses(spark, sf_dir):
-    flat = nodes(spark, sf_dir).where(~F.contains("text", F.lit("\n")))
+    flat = flat_nodes(spark, sf_dir)
     lines = markers.block_lines(tree.render(flat, level_markers=True))
     own = markers.inherited_mass(lines, "conv_id").withColumnRenamed("carried", "within_topic")
     both = markers.inherited_mass(own, "conv_id", reset=False).withColumnRenamed("carried", "across_topics")
     return both.groupBy("conv_id", "level").agg(F.count("*").alias("n"), F.round(F.sum("within_topic"), 6).alias("within_topic"), F.round(F.sum("across_topics"), 6).alias("across_topics"))
 
 
-@query("""
-WITH p AS (SELECT conv_id, turn AS pos, CAST(length(coalesce(text, '')) AS DOUBLE) / 100 AS mass FROM conversations), n AS (SELECT conv_id, max(pos) + 2 AS n FROM p GROUP BY conv_id), a AS (SELECT conv_id, pos, max(least(2.0, mass * 0.5)) AS m FROM p WHERE mass > 0 GROUP BY conv_id, pos)
-SELECT n.conv_id, list(round(coalesce(a.m, 0.0), 6) ORDER BY i) AS vector, list(round(least(1.5, coalesce(a.m, 0.0) * 0.9), 6) ORDER BY i) FILTER (i < 4) AS bias FROM (SELECT conv_id, n, unnest(range(0, greatest(n, 4))) AS i FROM n) n LEFT JOIN a ON a.conv_id = n.conv_id AND a.pos = i GROUP BY n.conv_id, n.n HAVING n.n >= 4""")
-def mass_vectors(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), (F.length(F.coalesce("text", F.lit(""))).cast("double") / 100).alias("mass"))
-    n = c.groupBy("conv_id").agg((F.max("pos") + 2).alias("n")).where("n >= 4")
-    v = markers.mass_vector(c.join(n, "conv_id"), "conv_id", "pos", "mass", "n", 2.0, 0.5)
-    r = lambda a: F.transform(a, lambda x: F.round(x, 6))
-    return v.select("conv_id", r(F.col("vector")).alias("vector"), r(markers.mass_bias(F.col("vector"), 0.9, 1.5, F.lit(4))).alias("bias"))
-
-
 @query("""
 WITH p AS (SELECT conv_id, turn AS pos, CAST(length(coalesce(text, '')) AS DOUBLE) / 100 AS mass FROM conversations), n AS (SELECT conv_id, max(pos) + 2 AS n FROM p GROUP BY conv_id), a AS (SELECT conv_id, pos, max(least(2.0, mass * 0.5)) AS m FROM p WHERE mass > 0 GROUP BY conv_id, pos)
 SELECT n.conv_id, list(round(coalesce(a.m, 0.0), 6) ORDER BY i) FILTER (i < n.n) AS vector, list(round(least(1.5, coalesce(a.m, 0.0) * 0.9), 6) ORDER BY i) AS bias FROM (SELECT conv_id, n, unnest(range(0, greatest(n, 4))) AS i FROM n) n LEFT JOIN a ON a.conv_id = n.conv_id AND a.pos = i GROUP BY n.conv_id, n.n""")
 def conversation_mass_vectors(spark, sf_dir):
-    """Mass and bias at every position of every conversation, short ones filled to 4 keys; ``mass_vectors`` has the first 4 keys of longer ones alone."""
+    """Mass and bias at every position of every conversation, short ones filled to 4 keys."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), (F.length(F.coalesce("text", F.lit(""))).cast("double") / 100).alias("mass"))
     n = c.groupBy("conv_id").agg((F.max("pos") + 2).cast("int").alias("n"))
     v = markers.mass_vector(c.join(n, "conv_id"), "conv_id", "pos", "mass", "n", 2.0, 0.5)

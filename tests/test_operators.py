@@ -223,3 +223,57 @@ def test_compaction_and_plans(spark):
     brute = max(p * -(-s // 254) + (9 - s - p) * -(-p // 254) for s in range(10) for p in range(10 - s))
     assert one(spark, planning.within_turn_requests(F.col("n")), n=9) == brute
     assert one(spark, planning.ratio_gate(F.col("a"), F.col("b"), 0.5), a=1, b=0) is False
+
+
+#: Texts that compatibility composition and case folding change: full-width, circled, ligature, half-width kana, combining mark, sharp s, Kelvin sign.
+UNSTABLE = ["ＡＢＣ　１２", "① ﬁne", "ｶﾞｷﾞ", "été", "Straße—Weg", "K kelvin", "plain, text!", "", None, "℡ 3.5。", "x　y", "Ⅷ № ½"]
+
+
+def test_unicode_folding(spark):
+    """Normalisers and the dedup key against the Unicode library, and a score that needs it."""
+    import re
+    import unicodedata
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(UNSTABLE)], "i int, t string")
+    got = df.select("t", T.normalise(F.col("t")).alias("n"), T.dedup_key(F.col("t")).alias("k")).collect()
+    for r in got:
+        if r["t"] is None:
+            assert r["n"] is None and r["k"] is None
+            continue
+        want = unicodedata.normalize("NFKC", r["t"].lower())
+        for d in T.DASHES:
+            want = want.replace(d, "-")
+        assert r["n"] == re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", want)).strip()
+        folded = unicodedata.normalize("NFKC", r["t"]).casefold()
+        assert r["k"] == "".join(c for c in folded if unicodedata.category(c)[0] not in "PZC")
+    answers = spark.createDataFrame([("１２", ["x"], "it is 12."), ("q", ["ﬁsh & ｃｈｉｐｓ"], "chips with fish"), ("q", [None, "ＡＢＣＤ"], "abcd")], "g string, a array<string>, t string")
+    assert [(r["passed"], r["matched_alias"]) for r in scoring.tier1(answers, "g", "a", "t").collect()] == [(True, None), (True, "ﬁsh & ｃｈｉｐｓ"), (True, "ＡＢＣＤ")]
+
+
+@pytest.mark.parametrize("reply, want", [
+    ("```\nyes\n```", True), ("```json\nno", False), ("``` yes, it is ```", True), ("回答: はい", True), ("はい/いいえ", None), ("同じではない", False), ("異なる", False), ("- 1) Answer: a: y", True),
+    ("don't", False), ("they aren't", False), ("N", False), ("Well, no.", False), ("nothing", None), ("yesterday", None), (None, None), (" > True\nno", True), ("• Reply：同じ", True),
+])
+def test_yes_no_of_judges(spark, reply, want):
+    assert one(spark, T.yes_no(F.col("t").cast("string")), t=reply or "") is want
+
+
+def test_code_names_and_objects(spark):
+    from rondelle.operators import extraction
+
+    codes = spark.createDataFrame([(1, "AliceB used XAB-12x then AB-12 AB-12"), (2, "User AB-1"), (3, None), (4, "AB-7 " + "x" * 90 + " Ada AB-7, Bob"), (5, "Ann X-AB-3 AB-3é")], "id bigint, t string")
+    assert sorted(map(tuple, extraction.code_names(codes, "t").collect())) == [(1, "AB-12", "AliceB"), (4, "AB-7", "Ada"), (5, "AB-3", "Ann")]
+    assert extraction.first_json_object('{"a": "b\\\\"} x') == '{"a": "b\\\\"}'
+    assert extraction.first_json_object('say "{ not" then {"a": {"b": 1}} {"c": 2}') == '{"a": {"b": 1}}'
+    assert extraction.first_json_object('} {"a": "open') is None and extraction.first_json_object("{}{}") == "{}"
+
+
+def test_full_trees_fail(spark):
+    from rondelle.operators import tree
+
+    rows = [(1, 0, i, f"t{i}", f"s{i}", f"d{i}") for i in range(4)]
+    nodes = tree.merge_exact(spark.createDataFrame(rows, "conv_id bigint, created bigint, seq bigint, topic string, sub_topic string, detail string"))
+    assert tree.within_capacity(nodes, (4, 1, 1)).count() == 12
+    assert sorted(r["text"] for r in tree.with_fit(nodes, (2, 1, 1)).where("NOT fits").collect()) == ["d2", "d3", "s2", "s3", "t2", "t3"]
+    with pytest.raises(Exception, match="tree is full"):
+        tree.within_capacity(nodes, (2, 1, 1)).collect()
