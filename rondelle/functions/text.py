@@ -57,6 +57,16 @@ def _nfkc_casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition; not for use inside lambdas."""
+    return F.coalesce(_nfkc(_beyond_ascii(text)), text)
+
+
 def lower_nfkc(text: Column) -> Column:
     """Lower case, then Unicode compatibility composition, for which Spark has no function; not for use inside lambdas."""
     return F.coalesce(_lower_nfkc(_beyond_ascii(text)), F.lower(text))
@@ -95,6 +105,14 @@ def number_words_to_digits(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, " "), lambda t: F.when(F.array_position(words, t) > 0, (F.array_position(words, t) - 1).cast("string")).otherwise(t)), " ")
 
 
+def number_spellings(word: Column) -> Column:
+    """A normalised word and, for a number of 0 to 20, its other spelling."""
+    words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
+    named = F.array_position(words, word).cast("int")
+    told = F.get(words, F.when(word.rlike("^(?:[0-9]|1[0-9]|20)$"), word.try_cast("int")))
+    return F.filter(F.array(word, F.when(named > 0, (named - 1).cast("string")), told), lambda x: x.isNotNull())
+
+
 def scrub(text: Column) -> Column:
     """Without diagram markers and context tags."""
     return squeeze(F.regexp_replace(F.regexp_replace(text, r"(?i)\[PN[^\]]*\]?", " "), r"(?i)</?context>", " "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogue, evaluation, planning, series, trees  # noqa: F401  (they register themselves)
+from . import conditions, dialogue, evaluation, planning, series, trees  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "tree_context_block"

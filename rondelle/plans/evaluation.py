@@ -37,12 +37,16 @@ s AS (SELECT conv_id, round_trip, m0 OR m1 OR m2 AS passed, CASE WHEN m0 THEN NU
 """
 
 
-def _answers(spark, sf_dir):
+def asked(spark, sf_dir):
+    """Questions (gold, aliases) and answers, one for each round trip."""
     trips = dialogue.round_trips(table(spark, sf_dir, "conversations"))
     ws = F.filter(F.split("user_text", " "), lambda w: w != "")
     nth = lambda i, other: F.coalesce(F.get(F.col("_w"), i), F.lit(other))
-    q = trips.withColumn("_w", ws).select("conv_id", "round_trip", nth(1, "").alias("gold"), F.array(nth(2, "x9"), F.concat(nth(0, ""), F.lit(" & "), nth(3, ""))).alias("aliases"), F.when(F.col("round_trip") % 7 == 6, "Not mentioned.").otherwise(F.col("assistant_text")).alias("answer"))
-    return scoring.tier1(q, "gold", "aliases", "answer").select("conv_id", "round_trip", "passed", "matched_alias")
+    return trips.withColumn("_w", ws).select("conv_id", "round_trip", nth(1, "").alias("gold"), F.array(nth(2, "x9"), F.concat(nth(0, ""), F.lit(" & "), nth(3, ""))).alias("aliases"), F.when(F.col("round_trip") % 7 == 6, "Not mentioned.").otherwise(F.col("assistant_text")).alias("answer"))
+
+
+def _answers(spark, sf_dir):
+    return scoring.tier1(asked(spark, sf_dir), "gold", "aliases", "answer").select("conv_id", "round_trip", "passed", "matched_alias")
 
 
 BASE = "WITH" + PAIRED + "," + ASKED + "," + SCORED.replace("s AS (SELECT conv_id, round_trip, m0", "scored AS (SELECT conv_id, round_trip, m0")
