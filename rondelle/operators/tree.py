@@ -70,7 +70,8 @@ def with_fit(nodes: DataFrame, capacity: tuple[int, int, int] = CAPACITY) -> Dat
     n = nodes.repartition("conv_id").withColumn("_fits", _turn() <= most)
     topic = F.max(F.when(F.col("level") == 0, F.col("_fits"))).over(_of("topic_id"))
     sub = F.max(F.when(F.col("level") == 1, F.col("_fits"))).over(_of("sub_id"))
-    n = n.withColumn("_topic", topic).withColumn("_sub", (F.col("level") == 0) | sub)
+    # topics have no sub-topic; said without their level, as a later filter on levels may run after the check
+    n = n.withColumn("_topic", topic).withColumn("_sub", F.coalesce(sub, F.lit(True)))
     return n.select(*nodes.columns, F.expr("_fits AND _topic AND _sub").alias("fits"))
 
 
