@@ -53,16 +53,26 @@ def concentration(p: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - p / F.when(n > 1, F.log(n)).otherwise(1.0))
 
 
+def binomial_tail(least: int, n: int) -> float:
+    """P(X >= least) for n fair coins: the terms from the first one on by their ratios, in logarithms."""
+    import numpy as np
+
+    if n == 0 or least <= 0:
+        return 1.0
+    if 2 * least <= n:  # the shorter tail is the other one
+        return 1.0 - binomial_tail(n - least + 1, n)
+    first = math.lgamma(n + 1) - math.lgamma(least + 1) - math.lgamma(n - least + 1) - n * math.log(2)
+    k = np.arange(least, n)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1)))])
+    return float(min(1.0, math.exp(first) * np.exp(logs).sum()))
+
+
 @pandas_udf(DoubleType())
 def mcnemar_one_sided(b, c):
     """Exact P(X >= c) for c of b + c discordant pairs at one half; 1 without pairs."""
     import pandas as pd
 
-    def tail(x, y):
-        n = int(x) + int(y)
-        return 1.0 if n == 0 else sum(math.comb(n, k) for k in range(int(y), n + 1)) / 2**n
-
-    return pd.Series([tail(x, y) for x, y in zip(b, c, strict=True)])
+    return pd.Series([binomial_tail(int(y), int(x) + int(y)) for x, y in zip(b, c, strict=True)])
 
 
 def kappa(both: Column, only_a: Column, only_b: Column, neither: Column) -> Column:

@@ -10,19 +10,25 @@ from ..functions.numeric import dot
 THRESHOLD = 0.92
 
 
-def best_match(queries: DataFrame, candidates: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+def best_match(queries: DataFrame, candidates: DataFrame, key: str, threshold: float = THRESHOLD, own: bool = True) -> DataFrame:
     """The most similar candidate of each query within its key; the first by order wins a tie.
 
     ``queries``: key, query_id, vector. ``candidates``: key, candidate_id, ord,
     vector. Gives query_id, candidate_id, score, matched (score at the threshold
-    or over). A query without candidates has no candidate and score 0. Candidates are reduced
-    map-side by max_by, so no list of a query's candidates is ever gathered.
+    or over). A query without candidates has no candidate and score 0; without
+    ``own`` a candidate of the query's id does not count. Candidates are reduced
+    map-side by max, so no list of a query's candidates is ever gathered.
     """
     q = queries.select(key, "query_id", F.col("vector").alias("_q"))
     c = candidates.select(F.col(key).alias("_k"), "candidate_id", "ord", F.col("vector").alias("_c"))
-    pairs = q.join(c, F.col(key) == F.col("_k"), "left").select("query_id", "candidate_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(F.col("_q"), F.col("_c")))).alias("score"), F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(F.col("_q"), F.col("_c")))), -F.col("ord")).alias("_rank"))
-    best = pairs.groupBy("query_id").agg(F.max_by("candidate_id", "_rank").alias("candidate_id"), F.max("score").alias("score"))
-    return best.select("query_id", "candidate_id", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("matched"))
+    on = F.col(key) == F.col("_k")
+    if not own:
+        on = on & (F.col("query_id") != F.col("candidate_id"))
+    # a query without candidates keeps its row: the join is an outer one
+    pairs = q.join(c, on, "left").select("query_id", "candidate_id", (-F.col("ord")).alias("_first"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(F.col("_q"), F.col("_c")))).alias("score"))
+    best = pairs.groupBy("query_id").agg(F.max(F.when(F.col("candidate_id").isNotNull(), F.struct("score", "_first", "candidate_id"))).alias("b"))
+    score = F.coalesce("b.score", F.lit(0.0))
+    return best.select("query_id", F.col("b.candidate_id").alias("candidate_id"), score.alias("score"), (F.col("b.candidate_id").isNotNull() & (score >= threshold)).alias("matched"))
 
 
 def spread_score(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -62,9 +62,17 @@ def choice_batches(n: Column) -> Column:
 
 
 def within_turn_requests(chunks: Column) -> Column:
-    """Most requests that linking so many nodes of one turn can take: over all splits into topics, sub-topics and details."""
-    split = F.flatten(F.transform(F.sequence(F.lit(0), chunks), lambda s: F.transform(F.sequence(F.lit(0), chunks - s), lambda p: p * F.ceil(s / BATCH).cast("bigint") + (chunks - s - p) * F.ceil(p / BATCH).cast("bigint"))))
-    return F.array_max(split).cast("bigint")
+    """Most requests that linking so many nodes of one turn can take: over all splits into topics, sub-topics and details.
+
+    With s topics and p sub-topics it is p * ceil(s / BATCH) + (n - s - p) *
+    ceil(p / BATCH). Within a batch both factors are fixed, so the total is
+    linear in s and in p: only the ends of batches can hold the maximum.
+    """
+    starts = lambda most: F.filter(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor(most / BATCH)), lambda k: k * BATCH + 1)), lambda x: x <= most)
+    ends = lambda most: F.transform(F.sequence(F.lit(1).cast("bigint"), F.floor(most / BATCH) + 1), lambda k: F.least(k * BATCH, most))
+    cost = lambda s, p: p * F.ceil(s / BATCH) + (chunks - s - p) * F.ceil(p / BATCH)
+    each = F.transform(starts(chunks), lambda s: F.array_max(F.transform(F.concat(starts(chunks - s), ends(chunks - s)), lambda p: cost(s, p))))
+    return F.array_max(each).cast("bigint")
 
 
 def projected_requests(chunks: Column, topics: Column, subs: Column, details: Column) -> Column:

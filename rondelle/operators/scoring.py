@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -97,9 +98,17 @@ def bootstrap(df: DataFrame, group: str, a: str, b: str, draws: int = 10_000, al
     return counts.mapInPandas(resample, f"{group} {kind}, n bigint, difference double, low double, high double")
 
 
-def index_percentile(values: str, q: float) -> Column:
-    """The element at int(n * q) of the sorted values (not interpolated)."""
-    return F.expr(f"element_at(array_sort(collect_list({values})), least(CAST(floor(count({values}) * {q}D) AS INT) + 1, CAST(count({values}) AS INT)))")
+def index_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group and name the element at int(n * share) of its sorted values (not interpolated, nulls aside).
+
+    Different values are counted first, so a group's window passes over its
+    different values, one at a time, and no list of values is ever built.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(group).orderBy(value))
+    rows = counted.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(W.partitionBy(group)))
+    at = lambda q: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1), F.col(value)))
+    return rows.groupBy(group).agg(*[at(q).alias(name) for name, q in shares.items()])
 
 
 def spread(df: DataFrame, group: list[str], value: str, digits: int = 2) -> DataFrame:

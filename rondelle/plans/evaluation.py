@@ -106,7 +106,7 @@ def quality_length_correlation(spark, sf_dir):
 @query("""
 SELECT event_type, v[least(CAST(floor(len(v) * 0.5) AS INT) + 1, len(v))] AS p50, v[least(CAST(floor(len(v) * CAST(0.95 AS DOUBLE)) AS INT) + 1, len(v))] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)""")
 def latency_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(scoring.index_percentile("value", 0.5).alias("p50"), scoring.index_percentile("value", 0.95).alias("p95"))
+    return scoring.index_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""
@@ -118,11 +118,8 @@ def nearest_in_group(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     c = e.select("label", F.col("vec_id").alias("candidate_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    # a vector is not its own neighbour
-    pairs = q.join(c.select(F.col("label").alias("_l"), "candidate_id", F.col("vector").alias("_v")), (F.col("label") == F.col("_l")) & (F.col("query_id") != F.col("candidate_id")))
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), N.dot(F.col("vector"), F.col("_v"))))
-    best = pairs.select("query_id", "candidate_id", score.alias("score")).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("candidate_id")).alias("o"))).alias("b"))
-    return best.select("query_id", (-F.col("b.o")).alias("candidate_id"), F.round("b.score", 6).alias("score"), (F.col("b.score") >= matching.THRESHOLD).alias("matched"))
+    best = matching.best_match(q, c, "label", own=False)
+    return best.where("candidate_id IS NOT NULL").select("query_id", "candidate_id", F.round("score", 6).alias("score"), "matched")
 
 
 @query("""

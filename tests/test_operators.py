@@ -1,5 +1,6 @@
 """Golden behaviours that the driver tables cannot show."""
 
+import random
 import json
 
 import pytest
@@ -277,3 +278,36 @@ def test_full_trees_fail(spark):
     assert sorted(r["text"] for r in tree.with_fit(nodes, (2, 1, 1)).where("NOT fits").collect()) == ["d2", "d3", "s2", "s3", "t2", "t3"]
     with pytest.raises(Exception, match="tree is full"):
         tree.within_capacity(nodes, (2, 1, 1)).collect()
+
+
+def test_binomial_tail():
+    import math
+
+    from rondelle.functions.numeric import binomial_tail
+
+    for n in (0, 1, 2, 7, 60, 301):
+        for c in range(n + 1):
+            exact = 1.0 if n == 0 else sum(math.comb(n, k) for k in range(c, n + 1)) / 2**n
+            assert math.isclose(binomial_tail(c, n), exact, rel_tol=1e-9, abs_tol=1e-15)
+    assert 0.49 < binomial_tail(500_000, 1_000_000) < 0.51 and binomial_tail(600_000, 1_000_000) < 1e-100
+
+
+def test_within_turn_requests(spark, monkeypatch):
+    """Against all splits, with small batches too."""
+    from rondelle.operators import planning
+
+    up = lambda a, b: -(-a // b)
+    for batch, sizes in ((3, range(25)), (254, (0, 1, 253, 254, 255, 300, 600))):
+        monkeypatch.setattr(planning, "BATCH", batch)
+        got = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", planning.within_turn_requests(F.col("n")).alias("x")).collect()
+        assert all(r["x"] == max(p * up(s, batch) + (r["n"] - s - p) * up(p, batch) for s in range(r["n"] + 1) for p in range(r["n"] - s + 1)) for r in got)
+
+
+def test_index_percentiles(spark):
+    rnd = random.Random(2)
+    rows = [(g, float(rnd.randrange(9))) for g in ("a", "b") for _ in range(37)] + [("c", 5.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: tuple(r)[1:] for r in scoring.index_percentiles(df, "g", "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    for g, values in got.items():
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert values == tuple(own[min(int(len(own) * q), len(own) - 1)] for q in (0.0, 0.5, 0.95, 1.0))
