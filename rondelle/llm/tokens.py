@@ -85,19 +85,17 @@ class Recent(dict):
     Entries come in two generations of half the limit each: when the young one
     (the dict itself) is full it becomes the old one, and an old entry that is
     asked for again is young again. So frequent words stay, however many rare
-    ones pass. ``known`` is a table that is looked up but never copied.
+    ones pass.
     """
 
-    def __init__(self, make, known: dict | None = None, limit: int = CACHE_ENTRIES):
+    def __init__(self, make, limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.known, self.old, self.half = make, known or {}, {}, max(1, limit // 2)
+        self.make, self.old, self.half = make, {}, max(1, limit // 2)
 
     def __missing__(self, key: str):
         out = self.old.get(key)
         if out is None:
-            out = self.known.get(key) if self.known else None
-            if out is None:
-                out = self.make(key)
+            out = self.make(key)
         if len(key) <= LONGEST_KEPT:
             if len(self) >= self.half:
                 self.old = dict(self)
@@ -116,12 +114,14 @@ class Units(Recent):
     """Unit -> its ids as little-endian unsigned 32-bit integers.
 
     A unit's pieces (a word without its comma, say) are units themselves, so
-    they share the table. ``known`` is a table that stays; memory is bounded
-    for any corpus.
+    they share the table. ``known`` are two tables that stay and are looked up
+    first: ids of words behind a space (True; without it) and of others (False).
+    Memory is bounded for any corpus.
     """
 
-    def __init__(self, path: str, known: dict | None = None, limit: int = CACHE_ENTRIES):
-        super().__init__(self.encode_unit, known, limit)
+    def __init__(self, path: str, known: dict[bool, dict[str, bytes]] | None = None, limit: int = CACHE_ENTRIES):
+        super().__init__(self.encode_unit, limit)
+        self.spaced, self.plain = (known[True], known[False]) if known else ({}, {})
         self.tok, self.model = load(path), load(path).model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -134,7 +134,11 @@ class Units(Recent):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_unit(self, unit: str) -> bytes:
-        word = unit[1:] if unit[:1] == " " else unit
+        spaced = unit[:1] == " "
+        word = unit[1:] if spaced else unit
+        ids = (self.spaced if spaced else self.plain).get(word)
+        if ids is not None:
+            return ids
         if word.isalpha():  # letters are one piece, with the space before them
             return self.encode_piece(unit)
         if word[-1:] in MARKS and word[:-1].isalpha():
@@ -159,10 +163,15 @@ class Units(Recent):
         if ACROSS.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + u] for u in rest]) if rest else self[first]
+        if not self.spaced:
+            return self[first] + b"".join([self[" " + u] for u in rest])
+        found = list(map(self.spaced.get, rest))
+        if None in found:
+            found = [self[" " + u] if ids is None else ids for u, ids in zip(rest, found)]
+        return self[first] + b"".join(found)
 
 
-def units_of(path: str, known: dict | None = None, key: object = None) -> Units:
+def units_of(path: str, known: dict[bool, dict[str, bytes]] | None = None, key: object = None) -> Units:
     """One table per worker process, tokenizer and known table; workers live on from task to task."""
     at = ("units", path, key)
     if at not in _LOADED:

@@ -40,9 +40,11 @@ def splittable(text: Column, special: list[str]) -> Column:
 def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
     """(word, n) over all texts; a word but the first of a text begins with its space."""
     texts = docs.select(text_or_empty().alias("text")).where(splittable(F.col("text"), special))
-    first, rest = F.substring_index("text", " ", 1), F.split("text", " ")
-    words = texts.select(F.explode(F.concat(F.array(first), F.transform(F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))), lambda w: F.concat(F.lit(" "), w)))).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    words = texts.select(F.posexplode(F.split("text", " ")).alias("pos", "bare"))
+    # the space is put on after the count, so that no string is made for a position
+    counts = words.groupBy("bare", (F.col("pos") > 0).alias("spaced")).agg(F.count("*").alias("n"))
+    word = F.when(F.col("spaced"), F.concat(F.lit(" "), F.col("bare"))).otherwise(F.col("bare"))
+    return counts.select(word.alias("word"), "n").where("word <> ''")
 
 
 def word_table(docs: DataFrame, tokenizer: str, limit: int = TABLE_WORDS) -> DataFrame:
@@ -90,7 +92,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, limit: int = TABLE_WORDS) ->
     null ids stay; an empty table gives an empty result.
     """
     table = stash(word_table(docs, tokenizer, limit), "words")
-    known = {r["word"]: bytes(r["ids"]) for r in table.toLocalIterator()}  # at most ``limit`` words
+    known: dict[bool, dict[str, bytes]] = {True: {}, False: {}}  # at most ``limit`` words, by whether a space stands before
+    for r in table.toLocalIterator():
+        spaced = r["word"].startswith(" ")
+        known[spaced][r["word"][spaced:]] = bytes(r["ids"])
     sent = docs.sparkSession.sparkContext.broadcast(known)
     key = sent._jbroadcast.id()
 
