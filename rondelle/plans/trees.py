@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import markers
+from ..functions import markers, spans
 from ..functions import text as T
 from ..operators import dialogue, merging, tree
 from .dialogue import PAIRED
@@ -132,6 +132,32 @@ def inherited_masses(spark, sf_dir):
     return both.groupBy("conv_id", "level").agg(F.count("*").alias("n"), F.round(F.sum("within_topic"), 6).alias("within_topic"), F.round(F.sum("across_topics"), 6).alias("across_topics"))
 
 
+#: A block in tokens of three characters, so that markers and concepts meet inside tokens.
+SPANS = LINES + f""", tx AS (SELECT conv_id, pos, level, coalesce(mass, 0.0) AS mass, repeat('  ', level) || CASE level WHEN 0 THEN '[SN]' WHEN 1 THEN {PN} ELSE '[RN]' END AS head, ' ' || {FLAT} AS said FROM ln),
+of AS (SELECT *, CAST(11 + sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id ORDER BY pos) - length(said) - 2 AS INT) AS f FROM tx),
+se AS (SELECT *, f + length(said) AS e FROM of),
+ts AS (SELECT conv_id, CAST(pos - 1 AS INT) AS span, level, mass, list_filter(range(f // 3, (e - 1) // 3 + 1), lambda x: NOT (x = f // 3 AND f % 3 > 0 AND trim(said[1:3 - f % 3]) = '') AND NOT (x = (e - 1) // 3 AND e % 3 > 0 AND trim(said[length(said) - e % 3 + 1:]) = '')) AS positions FROM se)
+"""
+
+
+def prompt_spans(spark, sf_dir):
+    blocks = tree.render(flat_nodes(spark, sf_dir), level_markers=True)
+    return spans.token_spans(blocks.select("conv_id", F.regexp_extract_all("block", F.lit("(?s)(.{1,3})"), 1).alias("pieces")), level_markers=True)
+
+
+@query(SPANS + "SELECT conv_id, span, level, CAST(mass AS DOUBLE) AS mass, list_transform(positions, lambda x: CAST(x AS INT)) AS positions FROM ts")
+def marker_spans(spark, sf_dir):
+    return prompt_spans(spark, sf_dir)
+
+
+@query(SPANS + """, tr AS (SELECT *, sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY span) AS run FROM ts),
+tm AS (SELECT *, CASE level WHEN 1 THEN mass WHEN 2 THEN last_value(CASE WHEN level = 1 THEN mass END IGNORE NULLS) OVER (PARTITION BY conv_id, run ORDER BY span) END AS m FROM tr)
+SELECT conv_id, CAST(unnest(positions) AS INT) AS position, CAST(m AS DOUBLE) AS mass FROM tm WHERE m > 0""")
+def marked_positions(spark, sf_dir):
+    """Positions of sub-topics and, with their masses, of the details under them."""
+    return spans.weighted_positions(prompt_spans(spark, sf_dir), "conv_id", inherit=True)
+
+
 @query("""
 WITH p AS (SELECT conv_id, turn AS pos, CAST(length(coalesce(text, '')) AS DOUBLE) / 100 AS mass FROM conversations), n AS (SELECT conv_id, max(pos) + 2 AS n FROM p GROUP BY conv_id), a AS (SELECT conv_id, pos, max(least(2.0, mass * 0.5)) AS m FROM p WHERE mass > 0 GROUP BY conv_id, pos)
 SELECT n.conv_id, list(round(coalesce(a.m, 0.0), 6) ORDER BY i) FILTER (i < n.n) AS vector, list(round(least(1.5, coalesce(a.m, 0.0) * 0.9), 6) ORDER BY i) AS bias FROM (SELECT conv_id, n, unnest(range(0, greatest(n, 4))) AS i FROM n) n LEFT JOIN a ON a.conv_id = n.conv_id AND a.pos = i GROUP BY n.conv_id, n.n""")

@@ -210,6 +210,31 @@ def test_markers(spark):
     assert sum(one(spark, markers.softmax(F.array(F.lit(1.0), F.lit(2.0))), t="x")) == pytest.approx(1.0)
 
 
+def test_token_spans(spark):
+    from rondelle.functions import spans
+
+    kind = "g bigint, pieces array<string>"
+    pieces = [
+        ["<C>\n", "[PN", "2.0] AAA", " x", "\n", "  [PN1.5", "]", " beta\n", "    [PN0.1] ", "q", " y [PN", "3.0]z\n  "],  # fused with the marker, with the line break, with the next marker
+        ["[PN1.0] a [PN2.0]b", "[PN3.0]\n", " c"],  # two markers in one token, an empty concept
+        [], None, ["no marker", None],
+    ]
+    df = spark.createDataFrame(list(enumerate(pieces)), kind)
+    got = [tuple(r) for r in spans.token_spans(df).orderBy("g", "span").collect()]
+    assert got == [(0, 0, 0, 2.0, [2, 3]), (0, 1, 1, 1.5, [7]), (0, 2, 2, 0.1, [9]), (0, 3, 2, 3.0, [11]), (1, 0, 0, 1.0, [0]), (1, 1, 0, 2.0, [0]), (1, 2, 0, 3.0, [])]
+    marked = spark.createDataFrame([(1, ["[SN]", " t\n", "  [PN2.0] ", "s", "\n    [RN]", " d", "\n[SN] u\n    [RN] e"])], kind)
+    s = spans.token_spans(marked, level_markers=True)
+    assert [tuple(r)[1:] for r in s.orderBy("span").collect()] == [(0, 0, 0.0, [1]), (1, 1, 2.0, [3]), (2, 2, 0.0, [5]), (3, 0, 0.0, [6]), (4, 2, 0.0, [6])]
+    rows = lambda d: sorted(tuple(r)[1:] for r in d.collect())
+    assert rows(spans.weighted_positions(s, "g")) == [(3, 2.0)] and rows(spans.weighted_positions(s, "g", inherit=True)) == [(3, 2.0), (5, 2.0)]
+    assert rows(spans.weighted_positions(s, "g", [0, 2])) == []
+    assert [r["position"] for r in spans.positions(s, [1, 2]).orderBy("position").collect()] == [3, 5, 6]
+    levels = spark.createDataFrame([(1, i, v) for i, v in enumerate([0, 1, 2, 0, 2])], "g bigint, span int, level int")
+    assert spans.with_levels(s, levels, "g").where("level = 2").count() == 2
+    with pytest.raises(Exception, match="differ in number"):
+        spans.with_levels(s, levels.where("span < 4"), "g").collect()
+
+
 def test_compaction_and_plans(spark):
     from rondelle.operators import planning
 
