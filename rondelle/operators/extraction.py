@@ -11,30 +11,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Capitalised words that open sentences rather than name something (our own short list).
-NOT_NAMES = ["the", "a", "an", "this", "that", "these", "those", "it", "i", "we", "you", "he", "she", "they", "and", "but", "or", "so", "if", "in", "on", "at", "for", "to", "of", "is", "are", "was", "my", "your", "our", "their", "his", "her", "what", "when", "where", "who", "why", "how", "yes", "no", "please", "thanks", "hello"]
+from ..functions.text import strip
 
-DATE = r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}(?:/\d{2,4})?|(?:January|February|March|April|May|June|July|August|September|October|November|December)(?: \d{1,2})?)\b"
+#: Capitalised words that open sentences rather than name something (our own short list; the operators take any other).
+NOT_NAMES = [w.capitalize() for w in ["the", "a", "an", "this", "that", "these", "those", "it", "i", "we", "you", "he", "she", "they", "and", "but", "or", "so", "if", "in", "on", "at", "for", "to", "of", "is", "are", "was", "my", "your", "our", "their", "his", "her", "what", "when", "where", "who", "why", "how", "yes", "no", "please", "thanks", "hello"]]
 
+#: How a name, a date and a sentence's end look, and the lengths of a fact and of what is kept of it.
+NAME_PHRASE = r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-zA-Z]+){0,2})(?![\p{L}\p{N}_])"
+MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+NEAR_DAY = r"\s+(?:week|month|year|night|weekend|[\p{L}\p{N}_]+day)"
+DATE = rf"(?iU)(?<![\p{{L}}\p{{N}}_])(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTH}(?:\s+\d{{2,4}})?|{MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,\s*\d{{2,4}})?|\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?|\d{{4}}-\d{{1,2}}-\d{{1,2}}|(?:19|20)\d{{2}}(?![\p{{L}}\p{{N}}_])|yesterday|today|tomorrow|tonight|last{NEAR_DAY}|next{NEAR_DAY})"
+SENTENCE_END = r"(?<=[.!?])\s+"
+FACT_CHARS, KEPT_CHARS = (20, 200), 160
 
-def entities(text: Column, most: int = 5) -> Column:
-    """The first different names of one to three capitalised words; sentence openers and short capitals are left out."""
-    found = F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}\p{N}_'-]+(?: \p{Lu}[\p{L}\p{N}_'-]+){0,2})"), 1)
-    opener = lambda w: F.lower(F.regexp_extract(w, r"^(\S+)", 1)).isin(NOT_NAMES)
-    without = F.transform(found, lambda e: F.when(opener(e), F.regexp_replace(e, r"^\S+ ?", "")).otherwise(e))
-    return F.slice(F.array_distinct(F.filter(without, lambda e: (F.length(e) >= 3) & ~opener(e) & ~e.rlike(r"^\p{Lu}{1,3}$"))), 1, most)
 
+def entities(text: Column, most: int = 1, stop: list[str] | None = None) -> Column:
+    """The first different names of one to three capitalised words.
 
-def fact_sentences(df: DataFrame, text: str, most_entities: int = 5, most_facts: int = 10, need_date: bool = False) -> DataFrame:
-    """Rows (kind entity or fact, text, parent) of each text; a fact is a sentence of 20 to 200 characters with an entity or a date."""
+    A name whose first word is in ``stop``, is a short run of capitals, or was
+    there before gives way to those of its words that pass alone.
+    """
+    stop = NOT_NAMES if stop is None else stop
+    words = lambda e: F.split(e, r"(?U)\s+")
+    alone = lambda e: ~e.rlike(r"\s") & (F.length(e) < 3)
+    sound = lambda e: ~F.get(words(e), 0).isin(stop) & ~e.isin(stop) & ~alone(e) & ~e.rlike("^[A-Z]{1,4}$")
+    found = F.regexp_extract_all(text, F.lit(NAME_PHRASE), 1)
+    each = F.transform(found, lambda e, i: F.when(sound(e) & (F.array_position(found, e) == i + 1), F.array(e)).otherwise(F.filter(words(e), sound)))
+    return F.slice(F.array_distinct(F.flatten(each)), 1, most)
+
+
+def fact_sentences(df: DataFrame, text: str, most_entities: int = 1, most_facts: int = 2, need_date: bool = False, stop: list[str] | None = None, root: str | None = None) -> DataFrame:
+    """Rows (seq, kind, text, parent) of each text: its root, if one is named, its entities, its facts.
+
+    A fact is a sentence of 20 to 200 characters with an entity or a date (with
+    ``need_date``: a date), each one once; 160 characters of it are kept. Its
+    parent is the first of the text's entities that it names, else the first
+    entity, else empty. An entity's parent is the root, or empty. A text that
+    is null or blank has no rows.
+    """
     keys = [c for c in df.columns if c != text]
-    e = df.withColumn("_e", entities(F.col(text), most_entities))
-    sentences = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?。！？])\s*"), F.trim), lambda s: F.length(s).between(20, 200))
+    e = df.where(F.col(text).rlike(r"(?U)\S")).withColumn("_e", entities(F.col(text), most_entities, stop))
+    sentences = F.filter(F.transform(F.split(F.col(text), f"(?U){SENTENCE_END}"), strip), lambda s: F.length(s).between(*FACT_CHARS))
     first = lambda s: F.get(F.filter(F.col("_e"), lambda n: F.contains(s, n)), 0)
     kept = F.filter(sentences, lambda s: s.rlike(DATE) | (F.lit(not need_date) & first(s).isNotNull()))
-    facts = F.transform(F.slice(kept, 1, most_facts), lambda s: F.struct(F.lit("fact").alias("kind"), F.left(s, F.lit(160)).alias("text"), F.coalesce(first(s), F.get(F.col("_e"), 0)).alias("parent")))
-    names = F.transform("_e", lambda n: F.struct(F.lit("entity").alias("kind"), n.alias("text"), F.lit(None).cast("string").alias("parent")))
-    return e.select(*keys, F.posexplode(F.concat(names, facts)).alias("seq", "x")).select(*keys, "seq", "x.*")
+    kept = F.slice(F.array_except(kept, "_e"), 1, most_facts)
+    row = lambda kind, t, parent: F.struct(F.lit(kind).alias("kind"), t.alias("text"), parent.alias("parent"))
+    facts = F.transform(kept, lambda s: row("fact", F.left(s, F.lit(KEPT_CHARS)), F.coalesce(first(s), F.get(F.col("_e"), 0), F.lit(""))))
+    names = F.transform("_e", lambda n: row("entity", n, F.lit(root or "")))
+    top = [F.array(row("root", F.lit(root), F.lit("")))] if root else []
+    return e.select(*keys, F.posexplode(F.concat(*top, names, facts)).alias("seq", "x")).select(*keys, "seq", "x.*")
 
 
 #: How a code and a name look, and capitalised words that name nothing.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, dialogue
+from ..operators import chunking, dialogue, extraction
 from .registry import query, table
 
 #: SQL that the counterparts below share.
@@ -179,3 +179,22 @@ def reply_parsing(spark, sf_dir):
     r = c.withColumn("reply", F.expr(REPLY.replace("chr(10)", "char(10)")))
     reply = F.col("reply")
     return r.select("conv_id", "turn", T.strip_think(reply).alias("bare"), T.first_line(reply).alias("line"), T.fenced_span(reply).alias("fenced"), T.answer_letter(reply).alias("letter"), T.first_int(reply).alias("score"), T.first_number01(reply).alias("score01"))
+
+
+#: The rules of names and facts again. Word bounds are ASCII there, so other letters are shown as one that is.
+STOP = "[" + ", ".join(f"'{w}'" for w in extraction.NOT_NAMES) + "]"
+SOUND = "NOT list_contains(" + STOP + ", regexp_split_to_array({0}, '\\s+')[1]) AND NOT list_contains(" + STOP + ", {0}) AND (regexp_matches({0}, '\\s') OR length({0}) >= 3) AND NOT regexp_matches({0}, '^[A-Z]{{1,4}}$')"
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, text, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{{L}}]', '_', 'g'), '\b([A-Z][a-z]+(?:\s+[A-Z][a-zA-Z]+){{0,2}})\b', 1) AS p FROM conversations WHERE regexp_matches(text, '\S')),
+w AS (SELECT *, flatten(list_transform(p, lambda x, i: CASE WHEN {SOUND.format("x")} AND list_position(p, x) = i THEN [x] ELSE list_filter(regexp_split_to_array(x, '\s+'), lambda y: {SOUND.format("y")}) END)) AS ws FROM c),
+e AS (SELECT *, list_filter(ws, lambda x, i: list_position(ws, x) = i)[:3] AS es FROM w),
+s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) BETWEEN 20 AND 200 AND (len(list_filter(es, lambda n: contains(x, n))) > 0 OR regexp_matches(x, '(?i)\b((19|20)\d\d\b|yesterday|today|tomorrow|tonight|\d{{1,2}}/\d{{1,2}}|\d{{4}}-\d{{1,2}}-\d{{1,2}})'))) AS ss FROM e),
+f AS (SELECT *, list_filter(ss, lambda x, i: list_position(ss, x) = i AND NOT list_contains(es, x))[:4] AS fs FROM s),
+r AS (SELECT conv_id, turn, es, unnest(es) AS text, 'entity' AS kind FROM f UNION ALL SELECT conv_id, turn, es, unnest(fs), 'fact' FROM f)
+SELECT conv_id, turn, kind, text[:160] AS text, CASE kind WHEN 'entity' THEN 'Conversation' ELSE coalesce(list_filter(es, lambda n: contains(text, n))[1], es[1], '') END AS parent FROM r""")
+def dialogue_facts(spark, sf_dir):
+    """Names and fact sentences of every message, under one root."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return extraction.fact_sentences(c, "text", 3, 4, root="Conversation").where("kind <> 'root'").select("conv_id", "turn", "kind", "text", "parent")

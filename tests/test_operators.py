@@ -185,9 +185,19 @@ def test_stream_keeps_trees(spark, tmp_path):
 def test_extraction(spark):
     from rondelle.operators import extraction
 
-    df = spark.createDataFrame([(1, "The Red Fox met Anna Lee on 2024-05-01 in Oslo. It was a very long and quiet evening. It ended."), (2, None)], "id bigint, t string")
-    got = [tuple(r)[2:] for r in extraction.fact_sentences(df, "t").orderBy("seq").collect()]
-    assert got == [("entity", "Red Fox", None), ("entity", "Anna Lee", None), ("entity", "Oslo", None), ("fact", "The Red Fox met Anna Lee on 2024-05-01 in Oslo.", "Red Fox")]
+    df = spark.createDataFrame([(1, "The Red Fox met Anna Lee on 2024-05-01 in Oslo. It was a very long and quiet evening. It ended."), (2, None), (3, " \n")], "id bigint, t string")
+    rows = lambda d, **k: [tuple(r)[2:] for r in extraction.fact_sentences(d, "t", **k).orderBy("id", "seq").collect()]
+    fact = "The Red Fox met Anna Lee on 2024-05-01 in Oslo."
+    # "The Red Fox" begins with a stopped word, so its words stand alone
+    assert rows(df) == [("entity", "Red", ""), ("fact", fact, "Red")]
+    assert rows(df, most_entities=9) == [("entity", "Red", ""), ("entity", "Fox", ""), ("entity", "Anna Lee", ""), ("entity", "Oslo", ""), ("fact", fact, "Red")]
+    assert rows(df, stop=["It"], most_entities=2, root="Talk") == [("root", "Talk", ""), ("entity", "The Red Fox", "Talk"), ("entity", "Anna Lee", "Talk"), ("fact", fact, "The Red Fox")]
+    said = "Bob Ray saw the sea again. Bob Ray saw the sea again. We all went there last Tuesday! Ann Poe came on the 3rd of may. " + "Bob Ray x" + "y" * 160 + ". Bob Ray"
+    again = spark.createDataFrame([(1, said)], "id bigint, t string")
+    # a sentence counts once, a name that comes again gives its words, a fact is cut, a date alone is enough
+    assert rows(again, most_entities=3, most_facts=9) == [("entity", "Bob Ray", ""), ("entity", "Bob", ""), ("entity", "Ray", ""), ("fact", "Bob Ray saw the sea again.", "Bob Ray"), ("fact", "We all went there last Tuesday!", "Bob Ray"), ("fact", ("Bob Ray x" + "y" * 160)[:160], "Bob Ray")]
+    assert rows(again, need_date=True, most_facts=9)[1:] == [("fact", "We all went there last Tuesday!", "Bob Ray")]
+    assert rows(spark.createDataFrame([(1, "it was all over by 1999, they say")], "id bigint, t string")) == [("fact", "it was all over by 1999, they say", "")]
     codes = spark.createDataFrame([(1, "Ada uses AB-12 and Bob AB-13; " + "x" * 90 + " ZZ-9")], "id bigint, t string")
     assert [tuple(r) for r in extraction.code_names(codes, "t").collect()] == [(1, "AB-12", "Ada"), (1, "AB-13", "Bob")]
     assert extraction.first_json_object('say {"a": "}{", "b": {"c": 1}} x') == '{"a": "}{", "b": {"c": 1}}' and extraction.first_json_object('{"a"') is None
