@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
@@ -44,9 +47,49 @@ def duplicate_share(vectors: DataFrame, key: str, order: str, vector: str, thres
 
     The sample is the operator's own feature: it bounds the pairs of a key.
     """
-    from pyspark.sql import Window as W
-
     few = vectors.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.md5(F.col(order).cast("string")), order))).where(F.col("_r") <= sample)
     a, b = few.select(key, F.col("_r").alias("_i"), F.col(vector).alias("_a")), few.select(F.col(key).alias("_k"), F.col("_r").alias("_j"), F.col(vector).alias("_b"))
     pairs = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_i") < F.col("_j")))
     return pairs.groupBy(key).agg(F.count("*").alias("pairs"), F.count(F.when(dot(F.col("_a"), F.col("_b")) >= threshold, 1)).alias("duplicates"))
+
+
+#: The scores of a judged match and of none.
+MATCH, NO_MATCH = 1.0, 0.0
+
+
+def judged_match(queries: DataFrame, candidates: DataFrame, key: str, ask: Callable[[Column, Column], Column], shortlist: int = 5) -> DataFrame:
+    """The first candidate of each query within its key that a judge says yes to, nearest first.
+
+    ``queries``: key, query_id, text, vector. ``candidates``: key, candidate_id,
+    ord, text, vector. ``ask`` gives a boolean column for a query's and a
+    candidate's text; it is asked for the ``shortlist`` nearest candidates (the
+    first by order of those as near), or, with 0, for all in their order. Gives
+    query_id, candidate_id, score: a match's, or that of none with the candidate
+    that came first. A query without candidates has none; a judge's null is no.
+    """
+    q = queries.select(key, "query_id", F.col("text").alias("_qt"), F.col("vector").alias("_q"))
+    c = candidates.select(F.col(key).alias("_k"), "candidate_id", "ord", F.col("text").alias("_ct"), F.col("vector").alias("_c"))
+    pairs = q.join(c, F.col(key) == F.col("_k"), "left")
+    near = [F.desc_nulls_last(dot(F.col("_q"), F.col("_c")))] if shortlist else []
+    pairs = pairs.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*near, "ord")))
+    if shortlist:
+        pairs = pairs.where(F.col("_r") <= shortlist)
+    yes = F.col("candidate_id").isNotNull() & F.coalesce(ask(F.col("_qt"), F.col("_ct")), F.lit(False))
+    found = pairs.groupBy("query_id").agg(F.min(F.when(yes, F.struct("_r", "candidate_id"))).alias("y"), F.min(F.struct("_r", "candidate_id")).alias("n"))
+    return found.select("query_id", F.coalesce("y.candidate_id", "n.candidate_id").alias("candidate_id"), F.when(F.col("y").isNotNull(), MATCH).otherwise(NO_MATCH).alias("score"))
+
+
+def link_within_turn(nodes: DataFrame, turn: list[str], belongs: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds parent_id: nodes of one turn linked to each other only.
+
+    ``nodes``: the columns of ``turn``, node_id, seq, level (0 topic, 1
+    sub-topic, 2 detail), text. A sub-topic goes to the first topic of its turn,
+    a detail to the first sub-topic, that ``belongs`` (child's text, parent's
+    text) says yes to; what finds none, and every topic, has no parent.
+    """
+    up = nodes.where("level < 2").select(*[F.col(c).alias(f"_{c}") for c in turn], F.col("node_id").alias("_id"), F.col("seq").alias("_seq"), F.col("level").alias("_up"), F.col("text").alias("_text"))
+    on = (F.col("level") == F.col("_up") + 1) & F.coalesce(belongs(F.col("text"), F.col("_text")), F.lit(False))
+    for c in turn:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    first = nodes.join(up, on).groupBy(*turn, "node_id").agg(F.min(F.struct("_seq", "_id")).alias("_p")).select(*turn, "node_id", F.col("_p._id").alias("parent_id"))
+    return nodes.join(first, [*turn, "node_id"], "left").select(*nodes.columns, "parent_id")

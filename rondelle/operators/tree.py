@@ -129,6 +129,28 @@ def to_json(nodes: DataFrame) -> DataFrame:
     return t.select("conv_id", F.to_json(F.transform("topics", lambda x: F.struct(x["text"].alias("text"), x["mass"].alias("mass"), x["subs"].alias("subs")))).alias("tree"))
 
 
+#: A tree as to_json writes it.
+JSON_TREE = "array<struct<text: string, mass: double, subs: array<struct<text: string, mass: double, details: array<string>>>>>"
+
+
+def from_json(trees: DataFrame, defaults: tuple[float, float, float] = DEFAULTS) -> DataFrame:
+    """The nodes of trees (conv_id, tree) that to_json wrote: conv_id, level, text, mass and coordinates.
+
+    Details have the default mass. A tree that is no JSON of this form fails the
+    query; null and an empty one have no nodes.
+    """
+    read = F.from_json("tree", JSON_TREE, {"mode": "FAILFAST"})
+    t = trees.select("conv_id", F.posexplode(read).alias("topic_idx", "t"))
+    s = t.select("conv_id", "topic_idx", F.posexplode("t.subs").alias("sub_idx", "s"))
+    d = s.select("conv_id", "topic_idx", "sub_idx", F.posexplode("s.details").alias("detail_idx", "text"))
+    none = F.lit(-1)
+    return (
+        t.select("conv_id", F.lit(0).alias("level"), "t.text", "t.mass", "topic_idx", none.alias("sub_idx"), none.alias("detail_idx"))
+        .unionByName(s.select("conv_id", F.lit(1).alias("level"), "s.text", "s.mass", "topic_idx", "sub_idx", none.alias("detail_idx")))
+        .unionByName(d.select("conv_id", F.lit(2).alias("level"), "text", F.lit(defaults[2]).alias("mass"), "topic_idx", "sub_idx", "detail_idx"))
+    )
+
+
 def metrics(nodes: DataFrame) -> DataFrame:
     """Counts by level, share of topics without sub-topics, and normalised entropy of the masses."""
     by = [F.count(F.when(F.col("level") == i, 1)).alias(n) for i, n in enumerate(("topics", "sub_topics", "details"))]

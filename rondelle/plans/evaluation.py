@@ -122,6 +122,20 @@ def nearest_in_group(spark, sf_dir):
     return best.where("candidate_id IS NOT NULL").select("query_id", "candidate_id", F.round("score", 6).alias("score"), "matched")
 
 
+@query("""
+WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS s FROM q LEFT JOIN embeddings c ON q.label = c.label AND c.vec_id % 20 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, candidate_id) AS r FROM p),
+b AS (SELECT query_id, arg_min(candidate_id, r) FILTER ((query_id + candidate_id) % 7 = 0) AS y, arg_min(candidate_id, r) AS n FROM r WHERE r <= 5 GROUP BY query_id)
+SELECT query_id, coalesce(y, n) AS candidate_id, CAST(CASE WHEN y IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS score FROM b""")
+def judged_neighbours(spark, sf_dir):
+    """Every 20th vector against all others of its label; the judge is a rule on the two ids."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vector"))
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    c = e.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "candidate_id").withColumn("ord", F.col("candidate_id"))
+    return matching.judged_match(q, c, "label", lambda a, b: (a.cast("bigint") + b.cast("bigint")) % 7 == 0)
+
+
 @query("""
 WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT label, i, sum(CAST(x AS DOUBLE)) AS s, count(*) AS n, sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS q FROM e GROUP BY label, i),
 t AS (SELECT label, sum(s * s) AS ss, max(n) AS n, sum(q) AS q FROM s GROUP BY label)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markers, spans
 from ..functions import text as T
-from ..operators import dialogue, merging, tree
+from ..operators import dialogue, matching, merging, tree
 from .dialogue import PAIRED
 from .registry import query, table
 
@@ -80,11 +80,39 @@ def tree_by_fold(spark, sf_dir):
     return merging.merge_conversations(facts(spark, sf_dir))
 
 
-@query()
+@query(TREE + """,
+jd AS (SELECT conv_id, topic_idx, sub_idx, string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY detail_idx) AS ds FROM nodes WHERE level = 2 GROUP BY ALL),
+js AS (SELECT n.conv_id, n.topic_idx, string_agg('{"text":' || CAST(to_json(text) AS VARCHAR) || ',"mass":' || CAST(mass AS VARCHAR) || ',"details":[' || coalesce(ds, '') || ']}', ',' ORDER BY n.sub_idx) AS ss
+       FROM nodes n LEFT JOIN jd ON n.conv_id = jd.conv_id AND n.topic_idx = jd.topic_idx AND n.sub_idx = jd.sub_idx WHERE level = 1 GROUP BY ALL)
+SELECT n.conv_id, '[' || string_agg('{"text":' || CAST(to_json(text) AS VARCHAR) || ',"mass":' || CAST(mass AS VARCHAR) || ',"subs":[' || coalesce(ss, '') || ']}', ',' ORDER BY n.topic_idx) || ']' AS tree
+FROM nodes n LEFT JOIN js ON n.conv_id = js.conv_id AND n.topic_idx = js.topic_idx WHERE level = 0 GROUP BY n.conv_id""")
 def tree_json(spark, sf_dir):
     return tree.to_json(nodes(spark, sf_dir))
 
 
+@query(TREE + "SELECT conv_id, level, text, mass, topic_idx, sub_idx, detail_idx FROM nodes")
+def tree_from_json(spark, sf_dir):
+    """Every tree written as JSON and read back."""
+    return tree.from_json(tree.to_json(nodes(spark, sf_dir)))
+
+
+@query(TREE + """,
+tn AS (SELECT conv_id, created, 0 AS level, topic AS text, min(seq) AS seq FROM facts GROUP BY ALL
+  UNION ALL SELECT conv_id, created, 1, sub_topic, min(seq) FROM facts WHERE sub_topic IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT conv_id, created, 2, detail, min(seq) FROM facts WHERE detail IS NOT NULL GROUP BY ALL),
+tl AS (SELECT c.conv_id, c.created, c.level, c.text, arg_min(p.text, (p.seq, p.text)) AS parent FROM tn c JOIN tn p ON c.conv_id = p.conv_id AND c.created = p.created AND c.level = p.level + 1
+       AND CASE c.level WHEN 1 THEN c.text[1] = p.text[1] ELSE contains(lower(c.text), p.text) END GROUP BY ALL)
+SELECT tn.conv_id, tn.created, tn.level, tn.text, parent FROM tn LEFT JOIN tl ON tn.conv_id = tl.conv_id AND tn.created = tl.created AND tn.level = tl.level AND tn.text = tl.text""")
+def turn_links(spark, sf_dir):
+    """Each round trip's nodes linked to each other: sub-topics by their first letter, details by the word they hold."""
+    f = facts(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(i).alias("level"), F.col(c).alias("text")) for i, c in enumerate(("topic", "sub_topic", "detail"))])
+    n = f.select("conv_id", "created", "seq", F.explode(each).alias("x")).select("conv_id", "created", "seq", "x.*").where("text IS NOT NULL")
+    n = n.groupBy("conv_id", "created", "level", "text").agg(F.min("seq").alias("seq")).withColumn("node_id", F.struct("text", "level"))
+    belongs = lambda child, parent: F.when(F.col("level") == 1, F.left(child, F.lit(1)) == F.left(parent, F.lit(1))).otherwise(F.contains(F.lower(child), parent))
+    return matching.link_within_turn(n, ["conv_id", "created"], belongs).select("conv_id", "created", "level", "text", F.col("parent_id.text").alias("parent"))
+
+
 @query()
 def tree_budgeted_mass(spark, sf_dir):
     return tree.budgeted(nodes(spark, sf_dir), 600, "mass")

@@ -245,6 +245,26 @@ def test_token_spans(spark):
         spans.with_levels(s, levels.where("span < 4"), "g").collect()
 
 
+def test_judged_matches_and_links(spark):
+    from rondelle.operators import matching, tree
+
+    q = spark.createDataFrame([("a", 1, "x", [1.0, 0.0]), ("a", 2, "none", [1.0, 0.0]), ("z", 3, "x", [1.0, 0.0]), (None, 4, "x", [1.0, 0.0])], "k string, query_id int, text string, vector array<double>")
+    c = spark.createDataFrame([("a", 10, 0, "yx", [0.1, 0.0]), ("a", 11, 1, "n", [0.9, 0.0]), ("a", 12, 2, "xx", [0.9, 0.0]), ("a", 13, 3, None, [0.5, 0.0])], "k string, candidate_id int, ord int, text string, vector array<double>")
+    ask = lambda a, b: F.contains(b, a)
+    got = lambda k: sorted(tuple(r) for r in matching.judged_match(q, c, "k", ask, k).collect())
+    alone = [(3, None, 0.0), (4, None, 0.0)]
+    assert got(2) == [(1, 12, 1.0), (2, 11, 0.0), *alone] and got(0) == [(1, 10, 1.0), (2, 10, 0.0), *alone]
+    assert got(1) == [(1, 11, 0.0), (2, 11, 0.0), *alone]  # a yes beyond the shortlist is not asked for
+    assert matching.judged_match(q.limit(0), c, "k", ask).count() == 0
+    n = spark.createDataFrame([(1, "t0", 0, 0, "sea"), (1, "t1", 1, 0, "sea and sun"), (1, "s0", 2, 1, "sun"), (1, "s1", 3, 1, "ice"), (1, "d0", 4, 2, "su"), (1, "d1", 5, 2, None), (2, "s2", 0, 1, "sea")], "turn int, node_id string, seq int, level int, text string")
+    links = {r["node_id"]: r["parent_id"] for r in matching.link_within_turn(n, ["turn"], lambda child, parent: F.contains(parent, child)).collect()}
+    assert links == {"t0": None, "t1": None, "s0": "t1", "s1": None, "d0": "s0", "d1": None, "s2": None}
+    read = lambda t: tree.from_json(spark.createDataFrame([(1, t)], "conv_id bigint, tree string")).collect()
+    assert read(None) == [] and read("[]") == [] and [r["level"] for r in read('[{"text": "a", "mass": 1.0, "subs": [{"text": "b", "mass": 2.0, "details": ["c"]}]}]')] == [0, 1, 2]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read("[{")
+
+
 def test_compaction_and_plans(spark):
     from rondelle.operators import planning
 
