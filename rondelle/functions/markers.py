@@ -53,6 +53,24 @@ def causal_row(query: Column, queries: Column, keys: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), keys - 1), lambda k: k <= query + keys - queries)
 
 
+#: Fixed value: the lowest finite number of a 32-bit float, which masks a key.
+LOWEST = -3.4028234663852886e38
+
+
+def combined_mask(bias: Column, allowed: Column | None = None, added: Column | None = None) -> Column:
+    """One query row's mask with the mass bias: a boolean mask (false: masked) or a float one, neither for none.
+
+    Lengths must agree, or the query fails. Masked keys stay finite, so that a
+    row with no key left is no NaN; sums below the lowest float stay there.
+    """
+    if allowed is None and added is None:
+        return bias
+    other = F.transform(allowed, lambda a: F.when(a, F.lit(0.0)).otherwise(F.lit(LOWEST))) if added is None else added
+    said = F.concat(F.lit("bias and mask differ in length: "), F.size(bias).cast("string"), F.lit(" and "), F.size(other).cast("string"))
+    both = F.zip_with(other, bias, lambda m, b: F.greatest(F.lit(LOWEST), m + b))
+    return F.when(F.size(bias) == F.size(other), both).otherwise(F.raise_error(said).cast("array<double>"))
+
+
 def softmax(scores: Column) -> Column:
     top = F.array_max(scores)
     e = F.transform(scores, lambda s: F.exp(s - top))

@@ -241,3 +241,20 @@ def dedup_key(text: Column) -> Column:
 def node_text_problem(text: Column, finish_reason: Column) -> Column:
     """The first rule a node text breaks, or null."""
     return F.when(finish_reason != "stop", "finish_reason").when(strip(text) == "", "empty").when(F.length(text) > 120, "too long").when(text.rlike(r"\n"), "multi-line").when(text.rlike(r"\[(?:PN|SN|RN)"), "marker")
+
+
+#: How a final channel opens and closes in a reply, how a reply of thoughts alone opens, and a marker's head.
+FINAL = r"(?s)(?:assistantfinal|<\|channel\|>\s*final\s*<\|message\|>)\s*(.+?)(?:<\|return\|>|<\|end\|>|assistantanalysis|\z)"
+THOUGHTS = r"(?s)^(?:assistantanalysis|analysis).*"
+MARKER_HEAD = r"(?U)^(?:\[(?:SN|RN|PN[0-9.]+)\]\s*|\])"
+
+
+def final_channel(text: Column) -> Column:
+    """What a reply says in its final channel; without one, what is left without thoughts, or all of it if that is nothing."""
+    rest = strip(F.regexp_replace(text, THOUGHTS, ""))
+    return F.when(text.rlike(FINAL), strip(F.regexp_extract(text, FINAL, 1))).otherwise(F.when(rest == "", strip(text)).otherwise(rest))
+
+
+def concept_key(text: Column) -> Column:
+    """A concept's text for comparison: white space collapsed, without a marker or its end before it."""
+    return squeeze(F.regexp_replace(strip(text), MARKER_HEAD, ""))

@@ -71,7 +71,9 @@ def paired(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, group: str, a: str, b: str, draws: int = 10_000, alpha: float = 0.05, seed: int = 47) -> DataFrame:
-    """Percentile interval of the difference of two paired pass rates.
+    """Percentile intervals of the difference and the ratio of two paired pass rates.
+
+    Draws in which b never passes have no ratio; if none has one it is null.
 
     A resample of pairs is a multinomial draw of their four outcomes, so a group
     is four counts whatever its size, and only those reach Python.
@@ -91,11 +93,14 @@ def bootstrap(df: DataFrame, group: str, a: str, b: str, draws: int = 10_000, al
                 if not total:
                     continue
                 drawn = np.random.default_rng(seed).multinomial(int(total), four / total, draws)
-                low, high = np.percentile((drawn[:, 1] - drawn[:, 2]) / total, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-                out.append((getattr(r, group), int(total), (four[1] - four[2]) / total, float(low), float(high)))
-            yield pd.DataFrame(out, columns=[group, "n", "difference", "low", "high"])
-
-    return counts.mapInPandas(resample, f"{group} {kind}, n bigint, difference double, low double, high double")
+                ends = [100 * alpha / 2, 100 * (1 - alpha / 2)]
+                low, high = np.percentile((drawn[:, 1] - drawn[:, 2]) / total, ends)
+                told = drawn[drawn[:, 0] + drawn[:, 2] > 0]
+                ratio = np.percentile((told[:, 0] + told[:, 1]) / (told[:, 0] + told[:, 2]), ends).tolist() if len(told) else [None, None]
+                out.append((getattr(r, group), int(total), (four[1] - four[2]) / total, float(low), float(high), *ratio))
+            yield pd.DataFrame(out, columns=[group, "n", "difference", "low", "high", "ratio_low", "ratio_high"])
+
+    return counts.mapInPandas(resample, f"{group} {kind}, n bigint, difference double, low double, high double, ratio_low double, ratio_high double")
 
 
 def index_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:

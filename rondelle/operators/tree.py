@@ -7,6 +7,8 @@ sub_id (ancestors).
 
 from __future__ import annotations
 
+import heapq
+import random
 from collections.abc import Callable
 
 import pandas as pd
@@ -177,31 +179,39 @@ def level_of_axes(c: Column, i: Column, d: Column) -> Column:
 def choose(rows: list[dict], budget: int, policy: str, cost: Callable[[str], int], seed: int = 0) -> list[bool]:
     """Which of a tree's rows (in tree order) fit a budget, parents before children.
 
-    Each pass keeps the first candidate, by policy, that still fits, and starts
-    again, as its children are candidates then.
+    The first candidate by policy that fits is kept, and its children are
+    candidates from then on. What does not fit never will, as the budget only
+    shrinks, so rows pass a heap once. The random policy shuffles the
+    candidates anew after each row that it keeps.
     """
-    import random
-
     if policy not in ("mass", "recency", "random"):
         raise ValueError(f"unknown policy {policy!r}")
     spent = cost("<CONTEXT>\n</CONTEXT>")
     if spent > budget:
         raise ValueError(f"budget {budget} is under the wrapper's {spent}")
-    kept, ids, rng = [False] * len(rows), set(), random.Random(seed)
+    kept, children, costs = [False] * len(rows), {}, [cost("\n" + r["line"]) for r in rows]
+    for i, r in enumerate(rows):
+        children.setdefault(r["parent_id"], []).append(i)
+    if policy != "random":
+        rank = lambda i: (-rows[i]["mass"] if policy == "mass" else 0, -rows[i]["created"], i)
+        heap = [rank(i) for i in children.get(None, [])]
+        heapq.heapify(heap)
+        while heap:
+            i = heapq.heappop(heap)[-1]
+            if spent + costs[i] <= budget:
+                kept[i], spent = True, spent + costs[i]
+                for c in children.get(rows[i]["node_id"], []):
+                    heapq.heappush(heap, rank(c))
+        return kept
+    rng, open_ = random.Random(seed), children.get(None, [])
     while True:
-        open_ = [i for i, r in enumerate(rows) if not kept[i] and (r["parent_id"] is None or r["parent_id"] in ids)]
-        if policy == "mass":
-            open_.sort(key=lambda i: (-rows[i]["mass"], -rows[i]["created"], i))
-        elif policy == "recency":
-            open_.sort(key=lambda i: (-rows[i]["created"], i))
-        else:
-            rng.shuffle(open_)
-        found = next((i for i in open_ if spent + cost("\n" + rows[i]["line"]) <= budget), None)
+        order = sorted(open_)
+        rng.shuffle(order)
+        found = next((i for i in order if spent + costs[i] <= budget), None)
         if found is None:
             return kept
-        kept[found] = True
-        ids.add(rows[found]["node_id"])
-        spent += cost("\n" + rows[found]["line"])
+        kept[found], spent = True, spent + costs[found]
+        open_ = [i for i in open_ if i != found] + children.get(rows[found]["node_id"], [])
 
 
 def budgeted(nodes: DataFrame, budget: int, policy: str = "mass", seed: int = 0) -> DataFrame:

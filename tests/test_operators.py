@@ -121,7 +121,9 @@ def test_statistics(spark):
     r = scoring.paired(df, "a", "b").first()
     assert (r["both"], r["only_a"], r["only_b"], r["neither"]) == (3, 5, 1, 2) and r["mcnemar_p"] == pytest.approx(7 / 64, abs=1e-6)
     b = scoring.bootstrap(df.withColumn("g", F.lit("x")), "g", "a", "b", 2000).first()
-    assert b["difference"] == pytest.approx(4 / 11) and b["low"] < 4 / 11 < b["high"]
+    assert b["difference"] == pytest.approx(4 / 11) and b["low"] < 4 / 11 < b["high"] and b["ratio_low"] < 2 < b["ratio_high"]
+    never = scoring.bootstrap(spark.createDataFrame([("x", 1, 0)] * 3, "g string, a int, b int"), "g", "a", "b", 50).first()
+    assert (never["difference"], never["ratio_low"], never["ratio_high"]) == (1.0, None, None)
     assert one(spark, N.attention_flops_decode(F.col("p"), F.col("c")), p=100, c=4) == 16 * 2 * 24 * 256 * (101 + 102 + 103)
     levels = F.create_map(F.lit(2), F.lit(0.4), F.lit(0), F.lit(0.4), F.lit(1), F.lit(0.2))
     assert one(spark, scoring.argmax_level(levels), p=1) == 0
@@ -265,6 +267,81 @@ def test_judged_matches_and_links(spark):
         read("[{")
 
 
+def test_guards(spark):
+    from rondelle.operators import guards
+    from rondelle.sources import runs
+
+    def fails(df, why):
+        with pytest.raises(Exception, match=why):
+            df.collect()
+
+    kind = "path string, n_nodes int, session_sha256 string, turns int, stopped string"
+    good, part, empty, other = ("a", 3, "s", 9, None), ("b", 3, "s", 5, "turn 5"), ("c", 0, "s", 9, None), ("d", 3, None, 9, None)
+    trees = lambda *rows: spark.createDataFrame(list(rows), kind)
+    assert guards.tree_artifact(trees(good), "s", 9).count() == 1 and guards.tree_artifact(trees(good, part), "s", 9, True).count() == 2
+    for row, why in ((part, "b: partial, stopped at turn 5"), (empty, "c: no nodes"), (other, "another session, null"), (("e", 3, "s", 5, None), "covers 5 round trips of 9")):
+        fails(guards.tree_artifact(trees(row), "s", 9), why)
+    c = spark.createDataFrame([("a", "q", "m", 5)], "path string, budget_question string, model_id string, W int")
+    assert guards.compaction_artifact(c, {"model_id": "m", "W": 5}).count() == 1
+    fails(guards.compaction_artifact(c, {"model_id": "n"}), "model_id is m, here n")
+    fails(guards.compaction_artifact(c.withColumn("budget_question", F.lit(None).cast("string")), {"W": 5}), "no budget question")
+    fails(guards.compaction_window(spark.createDataFrame([(2, [1, 2, 3])], "n_recent int, recent array<int>")), "keeps 2 round trips, the compaction 3")
+    asked = lambda **k: spark.createDataFrame([{"qid": "q1", "arm": "proposed", "w": 0.5, "inject": "prefill", "window": 10, "planet_lines": 2, "prompt_tokens": 9, "planet_spans": 2} | k], "qid string, arm string, w double, inject string, window int, planet_lines int, prompt_tokens int, planet_spans int")
+    assert guards.answered(asked()).count() == guards.answered(asked(window=None, prompt_tokens=99)).count() == guards.answered(asked(inject="none", planet_spans=0)).count() == 1
+    fails(guards.answered(asked(prompt_tokens=11)), "q1: 11 tokens in a window of 10")
+    fails(guards.answered(asked(planet_spans=1)), "1 spans of 2 lines")
+    fails(guards.answered(asked(planet_spans=0, planet_lines=0)), "nothing to inject into")
+    row = spark.createDataFrame([("q", 4, 3, 6, 2, None, None)], "qid string, completion_tokens int, decode_forwards int, applied int, skipped_prefill int, skipped_sliding int, applied_last_row int")
+    want = runs.bias_counters(F.lit(2), F.col("completion_tokens"), F.lit(1), F.lit(0.0), F.lit(False))
+    assert guards.counters(row, want).count() == 1
+    fails(guards.counters(row.withColumn("applied", F.lit(5)), want), "q: applied is 5, expected 6")
+    fails(guards.counters(row.withColumn("decode_forwards", F.lit(4)), want), "4 decode forwards, expected 3")
+    fails(guards.cells(spark.createDataFrame([("old", 0.1)], "arm string, w double"), ["old"]), "arm old is text alone")
+    f = spark.createDataFrame([("f1", 3, [1, 7]), ("f2", 7, None), ("f3", 2, [])], "id string, rt int, history array<int>")
+    assert [(r["id"], r["places"]) for r in guards.outside_corpus(f, [7, 3]).orderBy("id").collect()] == [("f1", [3, 7]), ("f2", [7])]
+    assert guards.leaks(spark.createDataFrame([("a [PN2] b",), ("</CONTEXT>",), ("x mass=2",), ("[PN]",), (None,)], "t string"), "t").count() == 3
+
+
+def test_replies_and_masks(spark):
+    from rondelle.functions import markers
+    from rondelle.functions import text as T
+
+    for raw, want in (("assistantanalysis hm assistantfinal 42 ", "42"), ("<|channel|>final<|message|>yes\nno<|return|>x", "yes\nno"), ("plain ", "plain"), ("analysis only", "analysis only"), ("assistantfinal a assistantanalysis b", "a"), ("", "")):
+        assert one(spark, T.final_channel(F.col("t")), t=raw) == want
+    for raw, want in ((" ] sea  wall\n", "sea wall"), ("[PN2.0] a", "a"), ("[SN]", ""), ("a]", "a]")):
+        assert one(spark, T.concept_key(F.col("t")), t=raw) == want
+    bias, mask = F.array(F.lit(1.0), F.lit(-1.0)), F.array(F.lit(True), F.lit(False))
+    assert one(spark, markers.combined_mask(bias), t="") == [1.0, -1.0]
+    assert one(spark, markers.combined_mask(bias, allowed=mask), t="") == [1.0, markers.LOWEST]
+    assert one(spark, markers.combined_mask(bias, added=F.array(F.lit(0.5), F.lit(2.0))), t="") == [1.5, 1.0]
+    with pytest.raises(Exception, match="differ in length: 2 and 1"):
+        one(spark, markers.combined_mask(bias, added=F.array(F.lit(0.5))), t="")
+
+
+def test_budget_choice_against_passes():
+    import random
+
+    def passes(rows, budget, policy):
+        """Sort all open rows anew for every row that is kept."""
+        spent, kept = len("<CONTEXT>\n</CONTEXT>"), set()
+        while True:
+            names = {rows[i]["node_id"] for i in kept}
+            rest = [i for i, r in enumerate(rows) if i not in kept and (r["parent_id"] is None or r["parent_id"] in names)]
+            rest.sort(key=lambda i: (-rows[i]["mass"] if policy == "mass" else 0, -rows[i]["created"], i))
+            fit = [i for i in rest if spent + 1 + len(rows[i]["line"]) <= budget]
+            if not fit:
+                return [i in kept for i in range(len(rows))]
+            kept.add(fit[0])
+            spent += 1 + len(rows[fit[0]]["line"])
+
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [{"node_id": i, "parent_id": None if i < 2 else rng.choice([None, rng.randrange(i)]), "mass": rng.randrange(4), "created": rng.randrange(4), "line": "x" * rng.randrange(1, 30)} for i in range(25)]
+        for policy in ("mass", "recency"):
+            budget = rng.randrange(25, 300)
+            assert tree.choose(rows, budget, policy, len) == passes(rows, budget, policy)
+
+
 def test_compaction_and_plans(spark):
     from rondelle.operators import planning
 
