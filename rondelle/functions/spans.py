@@ -34,10 +34,12 @@ def token_spans(prompts: DataFrame, pieces: str = "pieces", level_markers: bool
     whole = WHOLE[level_markers]
     p = p.withColumn("_marks", F.regexp_extract_all("_text", F.lit(f"({whole})"), 1)).withColumn("_between", F.split("_text", whole))
     # lengths of text up to and with each marker; a prompt has few markers beside its tokens
-    steps = F.zip_with("_marks", F.slice("_between", 1, F.size("_marks")), lambda m, b: F.length(m) + F.length(b))
-    start = F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, 1, i + 1), F.lit(0), lambda a, n: a + n))
-    each = F.transform("_marks", lambda m, i: F.struct(m.alias("mark"), F.get(start, i).alias("start"), F.get(F.col("_between"), i + 1).alias("rest")))
-    s = p.select(*keys, "_text", "_owner", F.posexplode(each).alias("span", "_s")).select(*keys, "span", "_text", "_owner", "_s.*")
+    n = F.size("_marks")
+    p = p.withColumn("_steps", F.zip_with("_marks", F.slice("_between", 1, n), lambda m, b: F.length(m) + F.length(b)))
+    each = F.zip_with("_marks", F.slice("_between", 2, n), lambda m, b: F.struct(m.alias("mark"), b.alias("rest")))
+    s = p.select(*keys, "_text", "_owner", "_steps", F.posexplode(each).alias("span", "_s"))
+    start = F.aggregate(F.slice("_steps", 1, F.col("span") + 1), F.lit(0), lambda total, k: total + k)
+    s = s.select(*keys, "span", "_text", "_owner", start.alias("start"), "_s.*")
 
     # the concept, and whether a marker ends it (else a line break or the end of the text)
     s = s.withColumn("_said", F.regexp_extract("rest", rf"^(?:(?!{BEGUN[level_markers]})[^\n])*", 0)).withColumn("_n", F.length("_said"))
@@ -51,9 +53,11 @@ def token_spans(prompts: DataFrame, pieces: str = "pieces", level_markers: bool
     no_first = opening & _blank(F.substr("_said", F.lit(1), of("_first")))
     in_one = opening & (F.col("_first") == F.col("_last"))
     no_last = closing & (F.col("_by_marker") & ~in_one | _blank(F.substr("_said", F.col("_n") - of("_last") + 1, of("_last"))))
-    s = s.withColumn("_no_first", no_first).withColumn("_no_last", no_last)
-    held = F.filter(F.array_distinct("_own"), lambda o: ~(F.col("_no_first") & (o == F.col("_first"))) & ~(F.col("_no_last") & (o == F.col("_last"))))
-    positions = F.when(F.col("_n") > 0, held).otherwise(F.array().cast("array<int>"))
+    # a concept's tokens follow each other: only the ends can go, so no token is looked at for another's sake
+    low = F.col("_first") + F.coalesce(no_first.cast("int"), F.lit(0))
+    high = F.col("_last") - F.coalesce(no_last.cast("int"), F.lit(0))
+    s = s.withColumn("_low", low).withColumn("_high", high)
+    positions = F.when(F.col("_low") <= F.col("_high"), F.sequence("_low", "_high")).otherwise(F.array().cast("array<int>"))
 
     told = F.regexp_extract("mark", r"\[PN([0-9.]+)\]", 1).try_cast("double")
     if level_markers:
