@@ -25,16 +25,19 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     return vote(hashed, ["_row", "doc_id"], "_h").select("doc_id", "fp")
 
 
-def trie_links(distinct: DataFrame, radius: int) -> DataFrame:
+def trie_links(distinct: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
     """Links (a, b) that join all rows whose fp differ in at most ``radius`` bits.
 
     ``distinct`` has ``fp`` (distinct) and ``rep``. Fingerprints within the
     radius agree in some choice of blocks; each choice deals the trie out by
     the value of those blocks, and a task traverses its subtrees. A task sends
     a spanning forest of what it has linked, not the pairs: at most one link for
-    each fingerprint and choice.
+    each fingerprint and choice. ``blocks`` (over ``radius``) sets the number of
+    blocks; with radius + 1 of them there are as many tables, which a wide
+    radius needs.
     """
-    blocks = blocks_for(distinct.count(), radius)
+    if blocks is None:
+        blocks = blocks_for(distinct.count(), radius)
     key_bits = [width for _, width in permutations(radius, blocks)]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tables(distinct, "fp", radius, blocks).select("table_no", "block", "perm", "rep").repartition(n, "table_no", "block")

@@ -14,6 +14,8 @@ FRONTIER = 50_000
 LEAVES = 1_000_000
 #: A pair of nodes with so many value pairs at most is compared directly.
 DIRECT = 64
+#: Over a budget of NARROW bits the upper nodes prune next to nothing: nodes of WIDE values at most are compared as blocks.
+NARROW, WIDE = 3, 256
 
 
 def settle(parent: np.ndarray) -> np.ndarray:
@@ -70,10 +72,11 @@ def _pass(values, parent, lo, hi, depth, budget):
         one = (changes[ahi - 1] == changes[alo]) & (changes[bhi - 1] == changes[blo]) & (parent[alo] == parent[blo])
         rows = rows[:, ~one]
         alo, ahi, blo, bhi, spent = rows
-        direct = ((ahi - alo) * (bhi - blo) <= DIRECT) | (depth >= 64)
+        wide = budget > NARROW
+        direct = ((np.maximum(ahi - alo, bhi - blo) <= WIDE) if wide else ((ahi - alo) * (bhi - blo) <= DIRECT)) | (depth >= 64)
         if direct.any():
             before = parent
-            parent = _compare(values, parent, rows[:, direct], budget)
+            parent = (_compare_blocks if wide else _compare)(values, parent, rows[:, direct], budget)
             if parent is not before:
                 changes = _changes(parent)
         rows = rows[:, ~direct]
@@ -120,3 +123,19 @@ def _compare(values, parent, rows, budget):
             parent = merge(parent, i[near], j[near])
         at = upto
     return parent
+
+
+def _compare_blocks(values, parent, rows, budget):
+    """_compare for wide nodes: each pair of nodes is one block of differences, without index arrays."""
+    held, size = [], 0
+    for alo, ahi, blo, bhi, _ in rows.T.tolist():
+        i, j = np.divmod(np.flatnonzero(np.bitwise_count(values[alo:ahi, None] ^ values[None, blo:bhi]) <= budget), bhi - blo)
+        i, j = i + alo, j + blo
+        near = i < j
+        held.append((i[near], j[near]))
+        size += len(held[-1][0])
+        if size >= LEAVES:
+            parent, held, size = merge(parent, *map(np.concatenate, zip(*held, strict=True))), [], 0
+    if size:
+        parent = merge(parent, *map(np.concatenate, zip(*held, strict=True)))
+    return parent

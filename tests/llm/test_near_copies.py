@@ -95,3 +95,38 @@ def test_rows_with_equal_and_null_ids(spark, corpus):
 
 def test_texts_without_words(spark):
     assert kept(spark, [(5, None), (4, ""), (6, " "), (7, "one"), (8, "ONE "), (9, "two")]) == [(4, ""), (7, "one"), (9, "two")]
+
+
+def test_the_trie_alone_proposes(spark, corpus, monkeypatch):
+    """Without min-hash bands the copies whose fingerprints are within the radius go, and no clean document does."""
+    from pyspark.sql import functions as F
+
+    from rondelle.llm import shingle_copies
+    from rondelle.llm.near_dedup import fingerprints
+
+    base, near, below = corpus
+    rows = [*base.items(), *near.items(), *below.items()]
+    fps = {r["doc_id"]: r["fp"] for r in fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect()}
+    within = {i for i in near if ((fps[i] ^ fps[i - 100]) & (2**64 - 1)).bit_count() <= shingle_copies.RADIUS}
+    assert len(within) > 15
+    monkeypatch.setattr(shingle_copies, "banded", lambda hashes: hashes.select(F.col("row").alias("key"), "row").where("false"))
+    assert {i for i, _ in kept(spark, rows)} == {i for i, _ in rows} - within
+
+
+@pytest.mark.parametrize("wide", [3, 256])
+def test_wide_budgets_in_the_trie(monkeypatch, wide):
+    from rondelle.llm import trie
+
+    monkeypatch.setattr(trie, "WIDE", wide)
+    monkeypatch.setattr(trie, "LEAVES", 5)
+    rnd = random.Random(8)
+    centres = [rnd.getrandbits(64) for _ in range(40)]
+    values = sorted({c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(12))) for c in centres for _ in range(6)})
+    want = list(range(len(values)))
+    while True:
+        got = [min(want[j] for j, b in enumerate(values) if a >> 59 == b >> 59 and (a ^ b).bit_count() <= 10) for a in values]
+        if got == want:
+            break
+        want = got
+    assert trie.classes(np.array(values, np.uint64), 5, 10).tolist() == want
+    assert len(set(want)) < len(values)
